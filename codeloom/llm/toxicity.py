@@ -76,7 +76,7 @@ class Model:
         z = np.array([self.w[self.positions(h)].sum() for h in features(texts)]) + self.b
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, swap: float = 5.0, decay: float = 1e-3, steps: int = 400, rate: float = 0.05, swaps: int = 4, seed: int = 9) -> Model:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, swap: float = 5.0, decay: float = 1e-4, steps: int = 600, rate: float = 0.05, swaps: int = 4, seed: int = 9) -> Model:
         """rows: positions of each labelled text's features. swap: weight of the counterfactual penalty."""
         if not len(y) or y.min() == y.max():
             self.prior = (y.sum() + 1) / (len(y) + 2)
@@ -115,8 +115,8 @@ class Model:
         return self
 
 
-def vocabulary(sample: DataFrame, size: int = 6000, least: int = 4) -> np.ndarray:
-    """The features that tell the labels apart best (chi-square over the sample), with all identity terms."""
+def vocabulary(sample: DataFrame, size: int = 600, least: int = 5, gain_from: float = 25.0) -> np.ndarray:
+    """The features that tell the labels apart best (chi-square over the sample, from a least value), with all identity terms."""
     import pyarrow as pa
 
     def run(batches):
@@ -133,7 +133,7 @@ def vocabulary(sample: DataFrame, size: int = 6000, least: int = 4) -> np.ndarra
     rate = (one["p"] or 0) / max(1, one["n"])
     expected = F.col("n") * rate
     gain = (F.col("pos") - expected) * (F.col("pos") - expected) / (expected + 1e-9)
-    best = terms.orderBy(gain.desc(), "term").limit(size).select("term").collect()  # bounded by size
+    best = terms.where(gain >= gain_from).orderBy(gain.desc(), "term").limit(size).select("term").collect()  # bounded by size
     held = [np.int64(r["term"]).view(np.uint64) for r in best] + [x for t in IDENTITY_TERMS for x in next(features([t.encode()]))]
     return np.unique(np.array(held, np.uint64))
 
