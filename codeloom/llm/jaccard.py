@@ -12,13 +12,13 @@ prefix is the shortest that survives that many losses:
   own size class and the next, so that any two sets within the size ratio share one.
 
 Two sets at or above the threshold share a signature (both prefixes end at known ranks, and the shorter
-prefix loses too few tokens to break all its signatures). All candidates are then verified on the whole
-texts. Short posting lists give all their pairs. A long list first compares its members with one leader
-each, and once components are known, whatever pairs lie in different components: none is left out, and
-groups of thousands of copies need one comparison a member. Frequent classes only steer cost: whatever
-they hold, the result is exact.
+prefix loses too few tokens to break all its signatures). Short posting lists give pairs, which counts of
+shared signatures thin out. A long list gives its members to the group of its leader, the member with the
+least mixed id, so that the many like lists of a group of copies fall into few groups. All pairs of a
+group are then verified on the whole texts, block against block, and leave a spanning forest: no pair is
+left out and none becomes a row. Frequent classes only steer cost: whatever they hold, the result is exact.
 
-Memory: postings travel in packed arrays by hash bucket; verification streams texts past one leader set.
+Memory: postings travel in packed arrays by hash bucket; verification holds two blocks of sets.
 
 Defined results: a null text counts as empty; a text without words has an empty set and links with
 nothing; a text of fewer than five words has its whole word sequence as its one shingle; repeated rows of
@@ -57,6 +57,10 @@ def fingerprint(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes()) if s.size else b""
 
 
+def set_id(fp: bytes) -> int:
+    return int.from_bytes(fp[:8], "big", signed=True)
+
+
 def _size_classes(limit: int = 1 << 40) -> np.ndarray:
     """Class limits: sizes within 5/4 of each other lie in one class or two neighbours."""
     out = [1]
@@ -77,17 +81,18 @@ def _rare(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ U(0x5851F42D4C957F2D))
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 80) -> np.ndarray:
-    """Signatures of a set; frequent: sorted tokens of the frequent class."""
+def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 80) -> tuple[np.ndarray, int]:
+    """Signatures of a set, and how many of the first ones are all its rare tokens, where its prefix
+    goes beyond them (else 0). frequent: sorted tokens of the frequent class."""
     n = s.size
     if n < 2:
-        return np.empty(0, U)  # such a set's only partners are identical
+        return np.empty(0, U), 0  # such a set's only partners are identical
     need = lost(n, percent) + 1
     at = np.searchsorted(frequent, s)
     known = np.zeros(n, bool) if not frequent.size else frequent[np.minimum(at, frequent.size - 1)] == s
     rare, often = s[~known], s[known]
     if rare.size >= need:
-        return _rare(rare[:need])
+        return _rare(rare[:need]), 0
     need -= rare.size
     out, own = [_rare(rare)], int(np.searchsorted(_CLASSES, n, side="right")) - 1
     for label in (own, own + 1):
@@ -104,7 +109,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 80) -> np.nda
             if not same.any():
                 break
             out.append(mix(mix(a[:-d][same] + U(label)) * _K + a[d:][same]))
-    return np.concatenate(out)
+    return np.concatenate(out), rare.size
 
 
 def document_sets(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +155,11 @@ def frequent_class(counts: DataFrame, least: int = 48, most: int = 1 << 17) -> n
 
 
 def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent: int, buckets: int = 512) -> DataFrame:
-    """(bucket, sigs, ids, sizes): packed signatures of the sets, by bucket; within a task each distinct set once."""
+    """(bucket, sigs, ids, sizes): packed signatures of the sets, by bucket; within a task each distinct set once.
+
+    A set's id is the first half of its fingerprint. A size is negative where the signature is one of all
+    rare tokens of a set.
+    """
     import pyarrow as pa
 
     held = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by frequent_class
@@ -163,7 +172,7 @@ def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent
             if not sigs:
                 return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["bucket", "sigs", "ids", "sizes"])
             n = [x.size for x in sigs]
-            s, d, z = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(sizes, np.int32), n)
+            s, d, z = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), n), np.concatenate(sizes)
             bucket = (s % U(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             s, d, z, bucket = s[order], d[order], z[order], bucket[order]
@@ -180,9 +189,12 @@ def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent
                 if fp in seen:
                     continue
                 seen.add(fp)
-                sigs.append(signatures(s, held.value, percent))
-                ids.append(i)
-                sizes.append(min(s.size, 2**31 - 1))
+                got, rare = signatures(s, held.value, percent)
+                n = np.full(got.size, min(s.size, 2**31 - 1), np.int32)
+                n[:rare] *= -1
+                sigs.append(got)
+                ids.append(set_id(fp))
+                sizes.append(n)
                 size += sigs[-1].size
                 if size > 1_000_000:
                     yield out()
@@ -193,118 +205,170 @@ def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent
 
 
 def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
-    """Rows (sig null, a, b, ..): pairs to verify; rows (sig, a, n): members of long lists."""
+    """Rows (kind, a, b, n). 0: sets a and b share n signatures of short lists; 1: b is in a long list led
+    by a; 2: a has n signatures in long lists; 3: n of the rare tokens of a are in no other set's prefix."""
     import pyarrow as pa
 
-    spark = packed.sparkSession
-    dealt = packed.repartition(shuffle_partitions(spark), "bucket")
+    dealt = packed.repartition(shuffle_partitions(packed.sparkSession), "bucket")
 
     def run(batches):
         parts: dict[int, list] = {}
         for b in batches:
             for k, s, d, z in zip(*(c.to_pylist() for c in b.columns)):
                 parts.setdefault(k, []).append((np.frombuffer(s, U), np.frombuffer(d, np.int64), np.frombuffer(z, np.int32)))
-        found = []
+        kinds: list[list[np.ndarray]] = [[], [], [], []]
+
+        def summed(rows: list[np.ndarray]) -> list[np.ndarray]:
+            """Rows (a, b, n) with n summed by (a, b)."""
+            x = np.concatenate(rows)
+            order = np.lexsort((x[:, 1], x[:, 0]))
+            x = x[order]
+            fresh = np.ones(len(x), bool)
+            fresh[1:] = (x[1:, :2] != x[:-1, :2]).any(axis=1)
+            at = np.flatnonzero(fresh)
+            return [np.column_stack((x[at, :2], np.add.reduceat(x[:, 2], at)))] if at.size else [x]
 
-        def out(sig, a, b):
-            return pa.RecordBatch.from_arrays([sig, pa.array(a), pa.array(b)], names=["sig", "a", "b"])
+        def rows(a, b):
+            return np.column_stack((a, b, np.ones(a.size, np.int64)))
 
         for k in sorted(parts):
             s, d, z = (np.concatenate([p[i] for p in parts[k]]) for i in range(3))
             parts[k] = []
-            order = np.lexsort((d, s))
+            order = np.lexsort((mix(d.view(U)), s))  # a list's leader: the least mixed id
             s, d, z = s[order], d[order], z[order]
             fresh = np.ones(s.size, bool)
             fresh[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
             s, d, z = s[fresh], d[fresh], z[fresh]
             cuts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            ends = np.append(cuts[1:], s.size)
-            count = ends - cuts
+            count = np.append(cuts[1:], s.size) - cuts
+            alone = d[cuts[(count == 1) & (z[cuts] < 0)]]
+            kinds[3].append(rows(alone, np.zeros_like(alone)))
+            z = np.abs(z).astype(np.int64)
             lists = np.repeat(np.arange(cuts.size), count)
-            few = (count > 1) & (count <= short)
-            rows = np.flatnonzero(few[lists])
+            few = np.flatnonzero(((count > 1) & (count <= short))[lists])
             for step in range(1, short):
-                x = rows[rows + step < s.size]
+                x = few[few + step < s.size]
                 x = x[lists[x + step] == lists[x]]
-                near = percent * np.maximum(z[x], z[x + step]).astype(np.int64) <= 100 * np.minimum(z[x], z[x + step]).astype(np.int64)
-                found.append(np.column_stack((d[x], d[x + step]))[near])
+                y = x + step
+                near = percent * np.maximum(z[x], z[y]) <= 100 * np.minimum(z[x], z[y])
+                kinds[0].append(rows(np.minimum(d[x], d[y])[near], np.maximum(d[x], d[y])[near]))
             many = np.flatnonzero((count > short)[lists])
-            if many.size:
-                lead = cuts[lists[many]]
-                near = (percent * np.maximum(z[many], z[lead]).astype(np.int64) <= 100 * np.minimum(z[many], z[lead]).astype(np.int64)) & (many != lead)
-                found.append(np.column_stack((d[lead], d[many]))[near])
-                yield out(pa.array(s[many].view(np.int64)), d[many], z[many].astype(np.int64))
-            if found:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        if found and found[0].size:
-            yield out(pa.nulls(len(found[0]), pa.int64()), np.ascontiguousarray(found[0][:, 0]), np.ascontiguousarray(found[0][:, 1]))
-
-    return saved(dealt.mapInArrow(run, "sig long, a long, b long"), "candidates")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int, chunk: int = 256) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough. Each a's partners pass its set in chunks."""
+            kinds[1].append(rows(d[cuts[lists[many]]], d[many]))
+            kinds[2].append(rows(d[many], np.zeros_like(d[many])))
+            kinds = [summed(x) for x in kinds]
+        for kind, x in enumerate(kinds):
+            for y in x:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), *(pa.array(np.ascontiguousarray(y[:, c])) for c in range(3))], names=["kind", "a", "b", "n"])
+
+    rows = dealt.mapInArrow(run, "kind int, a long, b long, n long")
+    return saved(rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "candidates")
+
+
+def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs that are similar enough, by the product of set-token matrices."""
+    size = np.array([s.size for s in sets])
+    token, at = np.unique(np.concatenate(sets), return_inverse=True)
+    who = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(at, minlength=token.size) > 1
+    keep = shared[at]
+    at, who = (np.cumsum(shared) - 1)[at[keep]], who[keep]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    common, step = np.zeros((len(sets), len(sets)), np.float32), 2048
+    for lo in range(0, int(shared.sum()), step):
+        a, b = np.searchsorted(at, (lo, lo + step))
+        m = np.zeros((len(sets), step), np.float32)
+        m[who[a:b], at[a:b] - lo] = 1
+        common += m @ m.T
+    c = common.astype(np.int64)
+    x, y = np.nonzero(np.triu((100 * c >= percent * (size[:, None] + size[None, :] - c)) & (c > 0), 1))
+    return x, y
+
+
+def _forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links."""
+    root, out = list(range(n)), []
+    for a, b in zip(x.tolist(), y.tolist()):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((a, b))
+    return out
+
+
+def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: int, block: int = 256) -> DataFrame:
+    """Links (a, b) that connect whatever pairs of a group's members are similar enough.
+
+    groups: distinct (lead, id). A group of more than `block` members is compared block against block,
+    each pair of blocks a task's unit of work, on the whole texts.
+    """
     import pyarrow as pa
 
-    spark = pairs.sparkSession
-    pairs = saved(pairs, "pairs")
-    size = saved(pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "leaders")
+    spark = groups.sparkSession
+    size = saved(groups.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    mine = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    wanted = groups.join(size, "lead").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = saved(wanted.select("id", "lead", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "wanted")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    left = size.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(0).alias("role"))
-    right = pairs.join(size, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("part"), F.lit(1).alias("role"))
-    wanted = saved(left.union(right), "wanted")
-    rows = wanted.join(texts, "id").select("a", "part", "role", "id", "text")
-    dealt = rows.repartition(shuffle_partitions(spark), "a", "part").sortWithinPartitions("a", "part", "role")
+    rows = wanted.join(texts, "id").select("lead", "lo", "hi", "id", "text")
+    dealt = rows.repartition(shuffle_partitions(spark), "lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
 
     def run(batches):
-        lead, mine = None, None
+        at, ids, sets = None, [], []
+
+        def out():
+            links = []
+            if len(sets) > 1:
+                links = _forest(len(sets), *similar_pairs(sets, percent))
+            return pa.RecordBatch.from_arrays([pa.array([ids[a] for a, _ in links], pa.int64()), pa.array([ids[b] for _, b in links], pa.int64())], names=["a", "b"])
+
         for b in batches:
-            a, part, role, ids = (b.column(k).to_pylist() for k in range(4))
-            good = []
-            for i, words in enumerate(word_hashes(utf8(b.column(4)))):
-                s = shingle_set(words)
-                if role[i] == 0:
-                    lead, mine = (a[i], part[i]), s
-                elif (a[i], part[i]) == lead:
-                    both = s.size + mine.size
-                    at = np.searchsorted(mine, s)
-                    at[at == mine.size] = 0
-                    common = int((mine[at] == s).sum()) if mine.size else 0
-                    if common and 100 * common >= percent * (both - common):
-                        good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([ids[i] for i in good], pa.int64())], names=["a", "b"])
+            names = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+            for name, i, words in zip(names, b.column(3).to_pylist(), word_hashes(utf8(b.column(4)))):
+                if name != at:
+                    yield out()
+                    at, ids, sets = name, [], []
+                ids.append(i)
+                sets.append(shingle_set(words))
+        yield out()
+
+    return saved(dealt.mapInArrow(run, "a long, b long").where("a != b"), "links")
+
 
-    return saved(dealt.mapInArrow(run, "a long, b long"), "links")
+def _bounds(percent: int) -> str:
+    """What a pair of short lists must satisfy to be similar.
+
+    Where both prefixes end within the rare tokens, the one that ends first shares all its prefix with the
+    other set but for the tokens that the pair may miss. Where both go beyond them, no more tokens can be
+    common than either set has besides those that no other prefix holds.
+    """
+    common = f"ceil({percent} * (nx + ny) / {100 + percent})"
+    need = [f"(n{k} - ceil({percent} * n{k} / 100) + 1 - (n{k} - {common}))" for k in "xy"]
+    counted = f"shared + least(longx, longy) >= least({need[0]}, {need[1]})"
+    free = f"{100 + percent} * least(nx - alonex, ny - aloney) >= {percent} * (nx + ny)"
+    return f"case when beyondx and beyondy then {free} when beyondx or beyondy then true else {counted} end"
 
 
 def similar_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     sets, counts = document_sets(docs, key, text)
     frequent = frequent_class(counts)
-    firsts = saved(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "sets")
-    members = saved(sets.where("n > 0 and doc_id is not null").join(firsts, "fp").select("doc_id", "rep").distinct(), "members")
+    firsts = saved(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
     found = candidates(postings(docs, key, text, frequent, percent), percent)
-
-    def as_reps(pairs):
-        a = members.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
-        b = members.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-        got = pairs.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        return got.where("a != b").distinct()
-
-    links = verified(as_reps(found.where("sig is null").select("a", "b")), docs, key, text, percent)
-    classes = saved(connected_components(links), "classes")
-    # long lists whose members lie in more than one class: the pairs between classes
-    lists = found.where("sig is not null").join(members.select(F.col("doc_id").alias("a"), "rep"), "a").select("sig", F.col("rep").alias("id"), F.col("b").alias("n"))
-    lists = lists.join(classes, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("class"))
-    lists = saved(lists.distinct(), "lists")
-    split = lists.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("sig")
-    open_lists = saved(lists.join(split, "sig", "left_semi"), "open")
-    x, y = (open_lists.select("sig", *(F.col(c).alias(c + k) for c in ("id", "n", "class"))) for k in "xy")
-    across = x.join(y, "sig").where(f"idx < idy and classx != classy and {percent} * greatest(nx, ny) <= 100 * least(nx, ny)")
-    more = across.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
-    late = verified(more, docs, key, text, percent)
-    if not late.isEmpty():
-        classes = saved(connected_components(links.union(late)), "classes")
+    ids = firsts.select(F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("long").alias("id"), "rep", "n")
+    for kind, name in ((2, "long"), (3, "alone")):
+        ids = ids.join(found.where(f"kind = {kind}").select(F.col("a").alias("id"), F.col("n").alias(name)), "id", "left")
+    ids = saved(ids.select("id", "rep", "n", F.coalesce("long", F.lit(0)).alias("long"), F.coalesce("alone", F.lit(0)).alias("alone"), F.col("alone").isNotNull().alias("beyond")), "ids")
+    x, y = (ids.select(*(F.col(c).alias(c + k) for c in ids.columns)) for k in "xy")
+    pairs = found.where("kind = 0").select(F.col("a").alias("idx"), F.col("b").alias("idy"), F.col("n").alias("shared")).join(x, "idx").join(y, "idy")
+    pairs = pairs.where(f"repx != repy and {_bounds(percent)}").select(F.col("repx").alias("lead"), F.explode(F.array("repx", "repy")).alias("id"))
+    reps = ids.select("id", "rep")
+    lists = found.where("kind = 1").select(F.col("a").alias("lead"), F.col("b").alias("id")).join(reps, "id").select("lead", F.col("rep").alias("id"))
+    groups = saved(pairs.union(lists).distinct(), "groups")
+    classes = connected_components(verified(groups, docs, key, text, percent))
     of_set = saved(firsts.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("class")), "classes")
     out = sets.join(of_set, "fp", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class")).otherwise(F.col("doc_id"))
