@@ -12,7 +12,9 @@ prefix is the shortest that survives that many losses:
   own size class and the next, so that any two sets within the size ratio share one.
 
 Two sets at or above the threshold share a signature (both prefixes end at known ranks, and the shorter
-prefix loses too few tokens to break all its signatures). Short posting lists give pairs, which counts of
+prefix loses too few tokens to break all its signatures). Each prefix is extended by a twentieth of its set
+beyond that, so similar sets share that many signatures more; a set that shares fewer with all others
+together has no partner and leaves before any text is compared. Short posting lists give pairs, which counts of
 shared signatures thin out. A long list gives its members to the group of its leader, the member with the
 least mixed id, so that the many like lists of a group of copies fall into few groups. All pairs of a
 group are then verified on the whole texts, block against block, and leave a spanning forest: no pair is
@@ -77,6 +79,10 @@ def lost(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100))
 
 
+#: A prefix is extended by n // EXTRA tokens, so that similar sets share as many more signatures.
+EXTRA = 20
+
+
 def _rare(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens ^ U(0x5851F42D4C957F2D))
 
@@ -87,7 +93,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 80) -> tuple[
     n = s.size
     if n < 2:
         return np.empty(0, U), 0  # such a set's only partners are identical
-    need = lost(n, percent) + 1
+    need = lost(n, percent) + 1 + n // EXTRA
     at = np.searchsorted(frequent, s)
     known = np.zeros(n, bool) if not frequent.size else frequent[np.minimum(at, frequent.size - 1)] == s
     rare, often = s[~known], s[known]
@@ -206,7 +212,8 @@ def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent
 
 def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
     """Rows (kind, a, b, n). 0: sets a and b share n signatures of short lists; 1: b is in a long list led
-    by a; 2: a has n signatures in long lists; 3: n of the rare tokens of a are in no other set's prefix."""
+    by a; 2: a has n signatures in long lists; 3: n of the rare tokens of a are in no other set's prefix;
+    4: a has n signatures in short lists of two or more."""
     import pyarrow as pa
 
     dealt = packed.repartition(shuffle_partitions(packed.sparkSession), "bucket")
@@ -216,7 +223,7 @@ def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
         for b in batches:
             for k, s, d, z in zip(*(c.to_pylist() for c in b.columns)):
                 parts.setdefault(k, []).append((np.frombuffer(s, U), np.frombuffer(d, np.int64), np.frombuffer(z, np.int32)))
-        kinds: list[list[np.ndarray]] = [[], [], [], []]
+        kinds: list[list[np.ndarray]] = [[], [], [], [], []]
 
         def summed(rows: list[np.ndarray]) -> list[np.ndarray]:
             """Rows (a, b, n) with n summed by (a, b)."""
@@ -246,6 +253,7 @@ def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
             z = np.abs(z).astype(np.int64)
             lists = np.repeat(np.arange(cuts.size), count)
             few = np.flatnonzero(((count > 1) & (count <= short))[lists])
+            kinds[4].append(rows(d[few], np.zeros_like(d[few])))
             for step in range(1, short):
                 x = few[few + step < s.size]
                 x = x[lists[x + step] == lists[x]]
@@ -308,7 +316,8 @@ def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: i
     import pyarrow as pa
 
     spark = groups.sparkSession
-    size = saved(groups.groupBy("lead").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
+    size = groups.groupBy("lead").agg(F.count("*").alias("members")).where("members > 1")
+    size = saved(size.select("lead", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "sizes")
     mine = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     wanted = groups.join(size, "lead").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wanted = saved(wanted.select("id", "lead", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "wanted")
@@ -341,15 +350,19 @@ def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: i
 def _bounds(percent: int) -> str:
     """What a pair of short lists must satisfy to be similar.
 
-    Where both prefixes end within the rare tokens, the one that ends first shares all its prefix with the
-    other set but for the tokens that the pair may miss. Where both go beyond them, no more tokens can be
-    common than either set has besides those that no other prefix holds.
+    The set whose prefix ends first shares all its signatures with the other but for as many as the tokens
+    that the pair may miss can break. Where both prefixes go beyond the rare tokens (`beyond`; known of sets
+    that have such tokens to themselves), no more tokens can be common than either set has besides those.
     """
     common = f"ceil({percent} * (nx + ny) / {100 + percent})"
-    need = [f"(n{k} - ceil({percent} * n{k} / 100) + 1 - (n{k} - {common}))" for k in "xy"]
-    counted = f"shared + least(longx, longy) >= least({need[0]}, {need[1]})"
+    x, y = (f"(n{k} - ceil({percent} * n{k} / 100) + 1 + n{k} div {EXTRA} - (n{k} - {common}))" for k in "xy")
     free = f"{100 + percent} * least(nx - alonex, ny - aloney) >= {percent} * (nx + ny)"
-    return f"case when beyondx and beyondy then {free} when beyondx or beyondy then true else {counted} end"
+    return f"shared + least(longx, longy) >= least({x}, {y}) and (not (beyondx and beyondy) or {free})"
+
+
+def _hopeful(percent: int) -> str:
+    """What a set must satisfy to have any partner: enough shared signatures, and tokens that others may hold."""
+    return f"long + short > (ceil({percent} * n / 100) div {EXTRA}) and (not beyond or 100 * (n - alone) >= {percent} * n)"
 
 
 def similar_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,9 +372,9 @@ def similar_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     firsts = saved(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
     found = candidates(postings(docs, key, text, frequent, percent), percent)
     ids = firsts.select(F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("long").alias("id"), "rep", "n")
-    for kind, name in ((2, "long"), (3, "alone")):
+    for kind, name in ((2, "long"), (3, "alone"), (4, "short")):
         ids = ids.join(found.where(f"kind = {kind}").select(F.col("a").alias("id"), F.col("n").alias(name)), "id", "left")
-    ids = saved(ids.select("id", "rep", "n", F.coalesce("long", F.lit(0)).alias("long"), F.coalesce("alone", F.lit(0)).alias("alone"), F.col("alone").isNotNull().alias("beyond")), "ids")
+    ids = saved(ids.select("id", "rep", "n", F.coalesce("long", F.lit(0)).alias("long"), F.coalesce("short", F.lit(0)).alias("short"), F.coalesce("alone", F.lit(0)).alias("alone"), F.col("alone").isNotNull().alias("beyond")).where(_hopeful(percent)), "ids")
     x, y = (ids.select(*(F.col(c).alias(c + k) for c in ids.columns)) for k in "xy")
     pairs = found.where("kind = 0").select(F.col("a").alias("idx"), F.col("b").alias("idy"), F.col("n").alias("shared")).join(x, "idx").join(y, "idy")
     pairs = pairs.where(f"repx != repy and {_bounds(percent)}").select(F.col("repx").alias("lead"), F.explode(F.array("repx", "repy")).alias("id"))
