@@ -322,7 +322,7 @@ def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: i
     wanted = groups.join(size, "lead").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wanted = saved(wanted.select("id", "lead", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "wanted")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    rows = wanted.join(texts, "id").select("lead", "lo", "hi", "id", "text")
+    rows = wanted.hint("merge").join(texts, "id").select("lead", "lo", "hi", "id", "text")
     dealt = rows.repartition(shuffle_partitions(spark), "lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
 
     def run(batches):
