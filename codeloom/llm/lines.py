@@ -121,7 +121,8 @@ def line_dedup(docs: DataFrame, min_lines: int = 4, min_words: int = 50, key: st
     # a document's own line numbers, packed; never more than its lines
     marks = saved(gone.groupBy("doc", "of").agg(F.collect_set("line").alias("gone")), "marks")
     marks = marks.select(F.struct("doc", "of", "gone").alias("__marks"))
-    joined = docs.join(marks, (docs[key] == marks["__marks"]["doc"]) & (F.xxhash64(docs[text]) == marks["__marks"]["of"]), "left")
+    # texts and marks both grow with the input: always a sort-merge join, whatever the size today
+    joined = docs.join(marks.hint("merge"), (docs[key] == marks["__marks"]["doc"]) & (F.xxhash64(docs[text]) == marks["__marks"]["of"]), "left")
     parts, dead = F.split(docs[text], "\n", -1), F.coalesce(F.col("__marks")["gone"], F.array().cast("array<int>"))
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(dead, i)), "\n")
     whole = F.col("__marks").isNull()
