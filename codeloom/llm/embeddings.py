@@ -28,6 +28,7 @@ from codeloom.llm.graph import connected_components
 
 LEAF = 24
 SLACK = 1e-9
+MARGIN = 1e-7
 
 
 class Node:
@@ -44,13 +45,14 @@ class CoverTree:
 
     def __init__(self, x: np.ndarray):
         self.x, self.order = x, np.arange(len(x))
-        center = x[0]
-        d = np.sqrt(((x - center) ** 2).sum(axis=1))
-        self.root = Node(center, float(d.max()), 0, len(x))
+        # all distances by one matrix product, where it is small; they may err by less than MARGIN
+        self.d = np.sqrt(np.maximum(0.0, 2 - 2 * x @ x.T)) if len(x) <= 4096 else None
+        d = self.distances(0, self.order)
+        self.root = Node(x[0], float(d.max()) + MARGIN, 0, len(x))
         todo = [(self.root, d)]
         while todo:
             node, d = todo.pop()
-            if node.hi - node.lo <= LEAF or node.radius < 1e-7:
+            if node.hi - node.lo <= LEAF or node.radius < 5 * MARGIN:
                 continue
             reach, rows = node.radius / 2, self.order[node.lo : node.hi].copy()
             left, at = np.ones(len(rows), bool), node.lo
@@ -58,7 +60,7 @@ class CoverTree:
             while left.any():
                 k = 0 if not centre_rows else int(np.flatnonzero(left)[0])
                 c = node.center if not centre_rows else self.x[rows[k]]  # nested: the parent's centre is its first child's
-                dist = d if not centre_rows else np.sqrt(np.maximum(0.0, ((self.x[rows[left]] - c) ** 2).sum(axis=1)))
+                dist = d if not centre_rows else self.distances(int(rows[k]), rows[left])
                 near = np.zeros(len(rows), bool)
                 near[left] = dist <= reach
                 if centre_rows:
@@ -68,12 +70,17 @@ class CoverTree:
                 n = int(near.sum())
                 if n:
                     self.order[at : at + n] = rows[near]
-                    child = Node(c, float(got.max()), at, at + n)
+                    child = Node(c, float(got.max()) + MARGIN, at, at + n)
                     node.children.append(child)
                     todo.append((child, got))
                     at += n
                 left &= ~near
 
+    def distances(self, k: int, rows: np.ndarray) -> np.ndarray:
+        if self.d is not None:
+            return self.d[k, rows]
+        return np.sqrt(((self.x[rows] - self.x[k]) ** 2).sum(axis=1))
+
 
 def traverse(a: CoverTree, b: CoverTree, distance: float, exact, whole, same: bool) -> None:
     """exact(i, j): rows of a and b to test; whole(i, j): rows that all are within the distance."""
