@@ -315,3 +315,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id"
 
 def op3_embedding_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0
+), normed as (
+  select *, list_dot_product(v, v) as s from vectors
+), links as (
+  select a.vec_id as l, b.vec_id as r from normed a join normed b on a.label = b.label and a.vec_id != b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / sqrt(a.s * b.s) >= 0.98
+), reached as (
+  select vec_id as l, vec_id as r from embeddings union select reached.l, links.r from reached join links on reached.r = links.l
+)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e left join (select l, count(*) as n from links group by l) n on n.l = e.vec_id
+left join (select l, min(r) as component_id from reached group by l) c on c.l = e.vec_id
+"""

@@ -390,3 +390,25 @@ def similar_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
 def op7_ngram_jaccard_join(spark, sf_dir):
     return similar_classes(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with recursive worded as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+                                      else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from worded
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), shared as (
+  select a.doc_id as l, b.doc_id as r, count(*) as n from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+  select l, r from shared join sizes x on x.doc_id = l join sizes y on y.doc_id = r where 100 * shared.n >= 80 * (x.n + y.n - shared.n)
+), edges as (
+  select l, r from links union all select r, l from links
+), reached as (
+  select doc_id as l, doc_id as r from documents union select reached.l, edges.r from reached join edges on reached.r = edges.l
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, c.component_id
+from documents d left join sizes s on s.doc_id = d.doc_id left join (select l, min(r) as component_id from reached group by l) c on c.l = d.doc_id
+"""
