@@ -119,16 +119,19 @@ def line_dedup(docs: DataFrame, min_lines: int = 4, min_words: int = 50, key: st
     gone = windows.select("doc", "of", F.explode(F.sequence("at", F.col("at") + F.col("lines") - 1)).alias("at")).distinct()
     gone = lines.select("doc", "of", "at", "line").distinct().join(gone, ["doc", "of", "at"], "left_semi")
     # a document's own line numbers, packed; never more than its lines
-    marks = saved(gone.groupBy("doc", "of").agg(F.collect_set("line").alias("gone")), "marks")
-    marks = marks.select(F.struct("doc", "of", "gone").alias("__marks"))
+    marks = saved(gone.groupBy("doc", "of").agg(F.sort_array(F.collect_set("line")).alias("gone")), "marks")
+    # as flags by line, so that a document's cost grows with its lines, not with lines x deleted lines
+    before = lambda i: F.coalesce(F.get("gone", i - 1), F.lit(-1))
+    flags = F.flatten(F.transform("gone", lambda x, i: F.concat(F.array_repeat(F.lit(False), x - before(i) - 1), F.array(F.lit(True)))))
+    marks = marks.select(F.struct("doc", "of", F.size("gone").alias("n"), flags.alias("flags")).alias("__marks"))
     # texts and marks both grow with the input: always a sort-merge join, whatever the size today
     joined = docs.join(marks.hint("merge"), (docs[key] == marks["__marks"]["doc"]) & (F.xxhash64(docs[text]) == marks["__marks"]["of"]), "left")
-    parts, dead = F.split(docs[text], "\n", -1), F.coalesce(F.col("__marks")["gone"], F.array().cast("array<int>"))
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(dead, i)), "\n")
+    parts = F.split(docs[text], "\n", -1)
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.get(F.col("__marks")["flags"], i), F.lit(False))), "\n")
     whole = F.col("__marks").isNull()
     n = F.when(docs[key].isNull() | docs[text].isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: F.length(F.trim(x)) > 0)))
     columns = [F.when(whole, docs[c]).otherwise(left).alias(c) if c == text else docs[c] for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return joined.select(*columns, n.cast("long").alias("n_lines"), F.size(dead).cast("long").alias("n_deleted"))
+    return joined.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(F.col("__marks")["n"], F.lit(0)).cast("long").alias("n_deleted"))
 
 
 def op1_line_dedup(spark, sf_dir):

@@ -294,3 +294,11 @@ def test_mixing_reaches_its_target(spark):
     assert abs(-(p * np.log(p)).sum() / np.log(3) - 0.9) < 0.02 and abs(sum(n.values()) - 1000) <= 3
     n = collections.Counter(r["doc_id"] for r in mixing.draws(d, target_entropy=1.0, max_repeats=4).collect())
     assert max(n.values()) <= 4
+
+
+def test_line_runs_in_a_long_document(spark):
+    """Cost grows with the lines, not with lines x deleted lines."""
+    run = "\n".join(f"row {k}" for k in range(60_000))
+    d = rows(spark, [(1, run), (2, f"first\n{run}\nlast\n")])
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in lines.line_dedup(d).collect()}
+    assert got == {1: (run, 60_000, 0), 2: ("first\nlast\n", 60_002, 60_000)}
