@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codeloom.engine import Engine
 from codeloom.operators.fixpoint import closure
+from codeloom.sources.printing import printed
 from codeloom.sources.tables import containment, event_programs, trade
 
 MAIN = """
@@ -30,6 +31,7 @@ NESTED = """
 procedure P { call Q1; while (i > 0) { call Q1; } if (i > 0) then { call Q2; } else { call Q3; } }
 procedure Q1 { call Q2; } procedure Q2 { call Q3; } procedure Q3 { a = a; }
 """
+KILLED = "procedure p { a = 1; call q; b = a; } procedure q { a = 2; }"
 NAMES = "procedure x { x = 1; call y; } procedure y { print x; }"
 
 _AFFECTS = "1-4 1-8 1-10 2-6 2-10 4-4 4-8 4-10 6-6 6-10 8-10 9-10 10-11 10-12 12-13 13-14"
@@ -97,6 +99,33 @@ CASES: dict[str, tuple[str, str, str]] = {
     "with_prog_line": (MAIN, "prog_line n; Select n with n = 3", "3"),
     "with_proc_call": (MAIN, "procedure p; call c; Select <p, c> with p.procName = c.procName", "sub-5"),
     "with_read_print": (MAIN, "read r; print p; variable v; Select <r, p> with r.varName = p.varName and v.varName = r.varName", "1-8"),
+    "with_print_print": (MAIN, "print p, q; Select <p, q> with p.varName = q.varName", "6-6 8-8"),
+    "with_print_procedure": (NAMES, "print q; procedure p; Select <q, p> with q.varName = p.procName", "3-x"),
+    "with_value_value": (MAIN, "constant a, b; Select BOOLEAN with a.value = b.value and a.value = 10", "TRUE"),
+    "with_long_constant": ("procedure p { a = 99999999999999999999; }", "stmt s; constant c; Select BOOLEAN with s.stmt# = c.value", "FALSE"),
+    "form_const_syn": (MAIN, "stmt s; Select s such that Next(3, s)", "4 8"),
+    "form_syn_const": (MAIN, "stmt s; Select s such that Next*(s, 8)", "1 2 3 4 5 6 7"),
+    "form_const_any": (MAIN, "Select BOOLEAN such that Parent(3, _) and Parent(_, 7)", "TRUE"),
+    "form_const_const": (MAIN, "Select BOOLEAN such that Next(7, 3) and Follows*(1, 8)", "TRUE"),
+    "form_any_any": (MAIN, "Select BOOLEAN such that Affects(_, _) and Calls*(_, _)", "TRUE"),
+    "form_no_such_statement": (MAIN, "stmt s; Select BOOLEAN such that Follows(99, s)", "FALSE"),
+    "form_no_such_name": (MAIN, 'Select BOOLEAN such that Uses("nobody", "x")', "FALSE"),
+    "uses_const_syn": (MAIN, 'variable v; Select v such that Uses("sub", v)', "x y"),
+    "uses_by_kind": (MAIN, 'while w; call c; print q; Select <w, c, q> such that Uses(w, "x") and Uses(c, "x") and Uses(q, "y")', "3-5-6"),
+    "modifies_const_syn": (MAIN, "variable v; Select v such that Modifies(3, v)", "x y z"),
+    "modifies_any": (MAIN, 'call c; procedure p; Select <c, p> such that Modifies(c, _) and Modifies(p, _) and Modifies("sub", _) and Modifies(4, _)', "5-main 5-sub"),
+    "calls_forms": (NESTED, 'procedure p; Select p such that Calls(p, "Q3") and Calls*(_, p)', "Q2"),
+    "calls_t_const": (NESTED, 'procedure q; Select q such that Calls*("Q1", q)', "Q2 Q3"),
+    "affects_forms": (LOOPS, "assign a; Select a such that Affects(a, 10) and Affects(1, _)", "1 2 4 6 8 9"),
+    "affects_killed_by_call": (KILLED, "Select BOOLEAN such that Affects(1, 3)", "FALSE"),
+    "affects_bip_from_callee": (KILLED, "assign a, b; Select <a, b> such that AffectsBip(a, b)", "4-3"),
+    "pattern_partial_constant": (MAIN, 'assign a; Select a pattern a("y", _"2"_)', "2 9"),
+    "pattern_exact_constant": (MAIN, 'assign a; Select a pattern a("z", "10")', "10"),
+    "pattern_condition_names": (MAIN, 'if i; while w; Select <i, w> pattern i("y", _, _) and w("x", _)', "4-3"),
+    "pattern_condition_constant": ("procedure p { while (1 > 0) { a = 1; } while (b > 0) { a = 1; } }", "while w; Select w pattern w(_, _)", "3"),
+    "attr_numbers": (MAIN, "read r; call c; while w; if i; Select <r.stmt#, c.stmt#, w.stmt#, i.stmt#>", "1-5-3-4"),
+    "clauses_in_any_order": (MAIN, 'assign a; while w; Select a with a.stmt# = 7 such that Parent(w, a) pattern a(_, _"x"_) such that Uses(a, "x")', "7"),
+    "keywords_as_names": ("procedure while { if = 2; read = if; read read; }", "assign a; Select a", "1 2"),
     "with_name_join": (NAMES, "procedure p; variable v; Select <p, v> with p.procName = v.varName", "x-x"),
 }
 
@@ -185,7 +214,13 @@ def tables_trade_closure(spark, sf_dir):
     return closure(trade(*(_read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier")))).select("l", "r")
 
 
+def program_listing(spark, sf_dir):
+    """A program in its compact printed form."""
+    return printed(spark.createDataFrame([("program", MAIN)], "program_id string, text string"))
+
+
 TABLE_SQL = {
+    "program_listing": "select 'program' as program_id, 'procedure main{read x;y = ((x * 2) + 1);while(x > 0){if(y == 1)then{call sub;}else{print y;}x = (x - 1);}print x;}procedure sub{y = (y + (x * 2));z = 10;}' as listing",
     "tables_calls_t": """
 with recursive e as (
   select 'r' || n_regionkey as l, 'n' || n_nationkey as r from nation union select 'n' || c_nationkey, 'c' || c_custkey from customer union select 'c' || o_custkey, 'o' || o_orderkey from orders
@@ -196,5 +231,5 @@ with recursive e as (
   where l_quantity = 50 and l_discount = 0.1 and c_nationkey != s_nationkey
 ), t as (select l, r from e union select t.l, e.r from t join e on t.r = e.l) select l, r from t""",
 }
-QUERIES = {n: _case(n) for n in CASES} | {n: _event_case(n) for n in EVENT_CASES} | {"tables_calls_t": tables_calls_t, "tables_trade_closure": tables_trade_closure}
+QUERIES = {n: _case(n) for n in CASES} | {n: _event_case(n) for n in EVENT_CASES} | {"program_listing": program_listing, "tables_calls_t": tables_calls_t, "tables_trade_closure": tables_trade_closure}
 SQL = {n: _case_sql(n) for n in CASES} | {n: _EVENTS + q for n, (_, q) in EVENT_CASES.items()} | TABLE_SQL

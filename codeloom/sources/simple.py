@@ -44,9 +44,14 @@ class Expr:
     numbers: set[str] = field(default_factory=set)
     kind: str = "value"  # or "relation", "logic"
 
+    @property
+    def grouped(self) -> str:
+        """canon within parentheses; those that it has are enough."""
+        return f"({self.canon})" if self.kind == "logic" or self.canon[0] != "(" else self.canon
+
     @staticmethod
     def of(op: str, a: Expr, b: Expr, kind: str = "value") -> Expr:
-        canon = f"({a.canon} {op} {b.canon})"
+        canon = f"{a.grouped} {op} {b.grouped}" if kind == "logic" else f"({a.canon} {op} {b.canon})"
         return Expr(canon, a.subtrees | b.subtrees | {canon}, a.names | b.names, a.numbers | b.numbers, kind)
 
 
@@ -106,7 +111,7 @@ class _Reader:
             self.take("(")
             part = self.condition(True)
             self.take(")")
-            return Expr(f"!({part.canon})", part.subtrees, part.names, part.numbers, "logic")
+            return Expr(f"!{part.grouped}", part.subtrees, part.names, part.numbers, "logic")
         left, grouped = None, self.peek() == "("
         if grouped:
             self.take("(")
@@ -152,6 +157,7 @@ class Facts:
     assigns: list[tuple] = field(default_factory=list)  # stmt_no, lhs, rhs_canon, rhs_subtrees
     consts: list[tuple] = field(default_factory=list)  # value
     nexts: list[tuple] = field(default_factory=list)  # src, dst
+    conditions: dict[int, Expr] = field(default_factory=dict)  # of if and while, for printing
 
 
 class _Program(_Reader):
@@ -197,7 +203,8 @@ class _Program(_Reader):
             self.note(n, rhs, False)
         elif kind in ("if", "while"):
             self.take("(")
-            self.note(n, self.condition(), True)
+            self.f.conditions[n] = self.condition()
+            self.note(n, self.f.conditions[n], True)
             self.take(")")
             if kind == "if":
                 self.take("then")

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from codeloom.operators.flow import Program, reach
 from codeloom.plans.pql import QuerySyntaxError, parse_query
+from codeloom.sources.printing import printed, program_text
 from codeloom.sources.simple import ProgramError, parse_expression, parse_program
 
 
@@ -64,3 +67,53 @@ def test_nested_tail_calls():
     assert (9, 2) in pairs and (9, 6) not in pairs and (3, 2) not in pairs
     assert (9, 9) in p.affects_bip()
     assert reach([(1, 2), (2, 1)]) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+_NAMES = st.sampled_from(["a", "b2", "if", "while", "read", "then"])
+_VALUES = st.recursive(_NAMES | st.integers(0, 99).map(str), lambda v: st.tuples(v, st.sampled_from("+-*/%"), v).map(lambda t: f"({t[0]} {t[1]} {t[2]})"), max_leaves=5)
+_RELATIONS = st.tuples(_VALUES, st.sampled_from(["<", ">", "<=", ">=", "==", "!="]), _VALUES).map(" ".join)
+_CONDITIONS = st.recursive(_RELATIONS, lambda c: c.map(lambda x: f"!({x})") | st.tuples(c, st.sampled_from(["&&", "||"]), c | _VALUES).map(lambda t: f"({t[0]}) {t[1]} ({t[2]})"), max_leaves=4)
+_PLAIN = st.tuples(_NAMES, _VALUES).map(lambda t: f"{t[0]} = {t[1]};") | st.tuples(st.sampled_from(["read", "print"]), _NAMES).map(lambda t: f"{t[0]} {t[1]};")
+_STATEMENTS = st.recursive(
+    st.lists(_PLAIN, min_size=1, max_size=3).map(" ".join),
+    lambda b: st.lists(_PLAIN | st.tuples(_CONDITIONS, b).map(lambda t: f"while ({t[0]}) {{ {t[1]} }}") | st.tuples(_CONDITIONS, b, b).map(lambda t: f"if ({t[0]}) then {{ {t[1]} }} else {{ {t[2]} }}"), min_size=1, max_size=3).map(" ".join),
+    max_leaves=4,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(_STATEMENTS, _STATEMENTS)
+def test_printed_programs_parse_to_the_same_facts(one, two):
+    facts = parse_program(f"procedure p {{ {one} }} procedure while {{ {two} call p; }}")
+    again = parse_program(program_text(facts))
+    assert again == facts and program_text(again) == program_text(facts)
+
+
+def test_layout():
+    text = "procedure p { while ((x > 1) && (!(y == 2))) { if (x < (y)) then { call q; } else { read z; } } } procedure q { a = b * (c + 1); }"
+    assert program_text(parse_program(text)) == "procedure p{while((x > 1) && (!(y == 2))){if(x < y)then{call q;}else{read z;}}}procedure q{a = (b * (c + 1));}"
+    assert program_text(parse_program(text), compact=False).splitlines() == [
+        "   procedure p",
+        "   {",
+        "01     while((x > 1) && (!(y == 2)))",
+        "       {",
+        "02         if((x < y)) then",
+        "           {",
+        "03             call q;",
+        "           }",
+        "           else",
+        "           {",
+        "04             read z;",
+        "           }",
+        "       }",
+        "   }",
+        "   procedure q",
+        "   {",
+        "05     a = (b * (c + 1));",
+        "   }",
+    ]
+
+
+def test_printed(spark):
+    d = spark.createDataFrame([("1", "procedure p{a=1;}"), ("2", "procedure"), ("3", None), ("4", "procedure p { a = " + "(" * 5000 + "1" + ")" * 5000 + "; }")], "program_id string, text string")
+    assert {r["program_id"]: r["listing"] for r in printed(d).collect()} == {"1": "procedure p{a = 1;}", "2": None, "3": "", "4": None}
