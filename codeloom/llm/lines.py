@@ -57,11 +57,10 @@ def ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
     sizes = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
     start, before = [], 0
     for part, n in sizes:
-        start += [F.lit(part), F.lit(before)]
+        start.append((part, before))
         before += n
-    if not start:
-        return parts.select(*classes.columns, F.col("place").alias("rank"))
-    return parts.select(*classes.columns, (F.col("place") + F.create_map(*start)[F.col("part")]).cast("long").alias("rank"))
+    start = F.broadcast(spark.createDataFrame(start, "part int, before long"))  # one row a partition
+    return parts.join(start, "part").select(*classes.columns, (F.col("place") + F.col("before")).alias("rank"))
 
 
 def _interval(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
