@@ -93,22 +93,30 @@ class Packer:
         return at
 
 
-def pack(parts: DataFrame, most: int = 2048, open_bins: int = 4096, group_rows: int = 8000, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """parts with sequence_id and offset. parts should be stored: it is counted first."""
+def pack(parts: DataFrame, most: int = 2048, open_bins: int = 4096, group_rows: int = 8000, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"), most_tasks: int = 20_000) -> DataFrame:
+    """parts with sequence_id and offset. parts should be stored: it is counted first.
+
+    Groups follow from the keys and the number of parts alone; a task packs one group or, beyond
+    most_tasks, several, one after the other."""
     import pyarrow as pa
 
     groups = max(1, math.ceil(parts.count() / group_rows))
-    order = F.xxhash64(*keys)
-    dealt = parts.repartition(groups, order).sortWithinPartitions(F.desc(length), order, *keys)
+    tasks, order = min(groups, most_tasks), F.xxhash64(*keys)
+    dealt = parts.withColumn("__group", F.pmod(order, F.lit(groups)).cast("long"))
+    dealt = dealt.repartitionById(tasks, (F.col("__group") % tasks).cast("int")).sortWithinPartitions("__group", F.desc(length), order, *keys)
     at = parts.columns.index(length)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        packer, base = Packer(most, open_bins), TaskContext.get().partitionId() << 40
+        packer, group = None, None
         for b in batches:
-            placed = [packer.place(n) for n in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + p[0] for p in placed], pa.int64()), pa.array([p[1] for p in placed], pa.int64())], names=[*b.schema.names, "sequence_id", "offset"])
+            ids, offsets = [], []
+            for g, n in zip(b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist()):
+                if g != group:
+                    packer, group = Packer(most, open_bins), g
+                made, offset = packer.place(n)
+                ids.append((g << 32) + made)
+                offsets.append(offset)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
     return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
