@@ -4,8 +4,9 @@ A source's weight is its share of tokens to the power alpha, normalised. alpha l
 alike) and 1 (natural shares) and is found by bisection: the largest whose weights reach the target
 entropy, but no smaller than the repetition limit allows. A source then gives weight x budget tokens: whole
 epochs, and of the last epoch a prefix of its blocks in the order of a hash of (seed, epoch, block), then of
-the last block's documents in the order of a hash, up to what is left. So a source of any size needs only
-the totals of its blocks in one place, and only its last block's documents in order.
+the last block's documents in the order of a hash, up to what is left. Blocks are summed by the head of their
+hash first, so a source of any size needs 4096 sums in one place, the blocks of one head, and only its last
+block's documents in order.
 
 DataFrame and SQL functions only. What meets in one row are the totals by source, one number each.
 
@@ -72,8 +73,12 @@ def draws(docs: DataFrame, target_entropy: float = 0.97, max_repeats: float = 4.
     # of the last epoch: blocks in order, as far as the rest goes
     blocks = saved(dealt.where("rest > 0").groupBy("source", "block", "whole", "rest").agg(F.sum("tokens").alias("size")), "blocks")
     order = _hash(F.lit(seed), F.col("source"), F.col("whole"), F.col("block"))
-    ahead = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("block_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("block_order", order).withColumn("before", ahead).where("before < rest")
+    blocks = blocks.withColumn("block_order", order).withColumn("head", F.substring("block_order", 1, 3))
+    # summed in two steps, so that no task holds all blocks of a source: over the 4096 heads, then within a head
+    sums = lambda x, *by: F.coalesce(F.sum(x).over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = blocks.groupBy("source", "head", "rest").agg(F.sum("size").alias("size"))
+    heads = heads.withColumn("ahead", sums("size", "source", "head")).where("ahead < rest").select("source", "head", "ahead")
+    blocks = blocks.join(heads, ["source", "head"]).withColumn("before", F.col("ahead") + sums("size", "source", "head", "block_order")).where("before < rest")
     blocks = saved(blocks.select("source", "block", (F.col("rest") - F.col("before")).alias("room"), (F.col("before") + F.col("size") <= F.col("rest")).alias("all_of_it")), "last")
     last = dealt.join(blocks, ["source", "block"])
     doc_order = _hash(F.lit(seed), F.col("whole"), F.col("doc_id"))
