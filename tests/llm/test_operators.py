@@ -8,9 +8,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import embeddings, jaccard, language, lines, media, mixing, packing, quality, rollups, toxicity, words
 from codeloom.llm.bpe import default_path, encoder
+from codeloom.llm.labelled import labelled_sample
 from codeloom.llm.queries import QUERIES, SQL
 from tests.compare import duck, same
 
@@ -61,6 +63,19 @@ def test_odd_rows(odd, none):
     assert rollups.counted(none).count() == 0 and rollups.counted(odd).count() == n
 
 
+def test_classifiers_on_odd_rows(spark, odd, none):
+    marks = [(2, 0, 1, "x"), (3, 1, 0, "x"), (4, 1, 0, "x"), (5, 0, 1, None), (5, 1, None, "x"), (None, 1, 1, "x"), (7, None, None, "x"), (99, 0, 0, "x"), (6, 1, 0, "x"), (8, 0, 1, "x")]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int, text string")
+    clashing = odd.withColumns({"score": F.lit("s"), "predicted": F.lit("p"), "label": F.lit("l")})
+    for docs, n in ((clashing, len(ODD)), (none, 0)):
+        for have in (labels, labels.limit(0)):
+            got = quality.score(docs, quality.learn(docs, have)).collect()
+            bad = toxicity.score(docs, toxicity.train(labelled_sample(docs, have, "toxic"))).collect()
+            for found in (got, bad):
+                assert len(found) == n and all(0 <= r["score"] <= 1 for r in found)
+                assert len({(r["score"], r["predicted"]) for r in found if r["doc_id"] == 5}) <= 1
+
+
 def test_word_hashes():
     texts = [b"", b" ", b"Abc aBC\tabd\n", b"x" * 3_000_000 + b" y", "é É".encode()] + [b"p q r"] * 3
     got = list(words.word_hashes(texts))
@@ -220,6 +235,12 @@ def test_packing(odd, none):
     assert e.ids(spaces).tolist() == e.full.encode(spaces, add_special_tokens=False).ids
 
 
+def test_packing_does_not_depend_on_the_tasks(spark):
+    parts = spark.createDataFrame([(i, 0, 1 + i * 7 % 60) for i in range(500)], "doc_id long, piece int, length long").cache()
+    got = [sorted(map(tuple, packing.pack(parts, 64, 16, group_rows=50, most_tasks=n).collect())) for n in (1, 3, 100)]
+    assert got[0] == got[1] == got[2] and len({r[3] >> 32 for r in got[0]}) == 10
+
+
 def test_packer_is_best_fit():
     p = packing.Packer(10, 2)
     assert [p.place(n) for n in (6, 7, 3, 9, 4, 1)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6), (2, 9)]
@@ -302,3 +323,8 @@ def test_line_runs_in_a_long_document(spark):
     d = rows(spark, [(1, run), (2, f"first\n{run}\nlast\n")])
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_deleted"]) for r in lines.line_dedup(d).collect()}
     assert got == {1: (run, 60_000, 0), 2: ("first\nlast\n", 60_002, 60_000)}
+
+
+def test_mixing_over_many_blocks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same(mixing.draws(docs, block_tokens=50).toPandas(), duck(SF, SQL["op6_source_mixing"].replace("total / 50000", "total / 50")))
