@@ -47,8 +47,8 @@ def containment(region: DataFrame, nation: DataFrame, customer: DataFrame, order
 
 
 def trade(lineitem: DataFrame, orders: DataFrame, customer: DataFrame, supplier: DataFrame) -> DataFrame:
-    """(program_id, l, r): customer's nation to supplier's nation, over large and discounted items; cyclic."""
-    few = lineitem.where("l_quantity = 50 and l_discount = 0.1").select("l_orderkey", "l_suppkey")
-    rows = few.join(orders.select("o_orderkey", "o_custkey"), few.l_orderkey == F.col("o_orderkey")).join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    """(program_id, l, r): customer's nation to supplier's nation, over all items given; cyclic."""
+    items = lineitem.select("l_orderkey", "l_suppkey")
+    rows = items.join(orders.select("o_orderkey", "o_custkey"), items.l_orderkey == F.col("o_orderkey")).join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey != s_nationkey")
     return rows.select(F.lit("tables").alias(P), F.col("c_nationkey").alias("l"), F.col("s_nationkey").alias("r")).distinct()
