@@ -54,16 +54,17 @@ def weights(totals: DataFrame, target_entropy: float, max_repeats: float, budget
     return got.select("source", "total", "alpha", w.alias("weight"), F.round(w * F.col("z") * float(budget_share)).cast("long").alias("quota"))
 
 
-def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(*carry, F.col(key).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("tokens"))
 
 
-def draws(docs: DataFrame, target_entropy: float = 0.97, max_repeats: float = 4.0, budget_share: float = 1.0, block_tokens: int = 50_000, seed: int = 17, key: str = "doc_id") -> DataFrame:
+def draws(docs: DataFrame, target_entropy: float = 0.97, max_repeats: float = 4.0, budget_share: float = 1.0, block_tokens: int = 50_000, seed: int = 17, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, tokens, epoch, block, block_order, doc_order): a row for each time a document is drawn.
 
-    The mixture in order is the rows by (epoch, block_order, doc_order).
+    The mixture in order is the rows by (epoch, block_order, doc_order). carry: further columns of docs, which
+    each draw has from its own row.
     """
-    rows = saved(counted(docs, key).where("tokens > 0"), "counted")
+    rows = saved(counted(docs, key, carry=carry).where("tokens > 0"), "counted")
     totals = saved(rows.groupBy("source").agg(F.sum("tokens").alias("total")), "totals")
     plan = weights(totals, target_entropy, max_repeats, budget_share)
     plan = plan.select("source", F.floor(F.col("quota") / F.col("total")).cast("int").alias("whole"), (F.col("quota") % F.col("total")).alias("rest"), F.ceil(F.col("total") / block_tokens).cast("long").alias("n_blocks"))
@@ -82,11 +83,11 @@ def draws(docs: DataFrame, target_entropy: float = 0.97, max_repeats: float = 4.
     blocks = saved(blocks.select("source", "block", (F.col("rest") - F.col("before")).alias("room"), (F.col("before") + F.col("size") <= F.col("rest")).alias("all_of_it")), "last")
     last = dealt.join(blocks, ["source", "block"])
     doc_order = _hash(F.lit(seed), F.col("whole"), F.col("doc_id"))
-    one = Window.partitionBy("source", "block").orderBy(doc_order, "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    one = Window.partitionBy("source", "block").orderBy(doc_order, "tokens", *carry).rowsBetween(Window.unboundedPreceding, 0)
     cut = last.where("not all_of_it").withColumn("upto", F.sum("tokens").over(one)).where("upto <= room").drop("upto")
     ends = last.where("all_of_it").unionByName(cut).withColumn("epoch", F.col("whole"))
     full = dealt.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
-    names = ["doc_id", "source", "tokens", "epoch", "block"]
+    names = [*carry, "doc_id", "source", "tokens", "epoch", "block"]
     every = full.select(*names).union(ends.select(*names))
     return every.withColumns({"block_order": _hash(F.lit(seed), F.col("source"), F.col("epoch"), F.col("block")), "doc_order": _hash(F.lit(seed), F.col("epoch"), F.col("doc_id"))})
 

@@ -15,13 +15,23 @@ from codeloom.llm.jaccard import similar_classes
 from codeloom.llm.lines import line_dedup
 from codeloom.llm.mixing import draws
 from codeloom.llm.packing import pack, pieces
-from codeloom.llm.quality import learn, score
+from codeloom.llm.quality import accepted, learn
+
+
+def _same(*columns: str):
+    """128 bits that rows share if they agree in the columns, nulls included."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
+def _one_each(docs: DataFrame, *columns: str) -> DataFrame:
+    """__same and __row: the least of the rows that agree in the columns, found within tasks first."""
+    return docs.groupBy(_same(*columns).alias("__same")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    good = score(docs, learn(docs, table(spark, sf_dir, "labels"))).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """Rows whose own text the classifier accepts, whatever their id; repeated rows stay at their number."""
+    return accepted(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +44,23 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones: that with the smallest id."""
-    first = similar_classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """One document of each class of similar ones: that with the smallest id.
+
+    Rows that agree in id and text are one document, of which the least row stays; rows of one id with other
+    texts are documents of their own.
+    """
+    named = docs.where("doc_id is not null")
+    one = saved(_one_each(named, "doc_id", "text").select("__row.*"), "documents").withColumn("__key", F.xxhash64("doc_id", "text"))
+    classes = similar_classes(one, key="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    first = one.select("__key", "doc_id").join(classes, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select("first.__key")
+    return one.join(first.hint("merge"), "__key", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as it is drawn."""
-    return docs.join(draws(docs).select("doc_id").hint("merge"), "doc_id").select(*docs.columns)
+    """Sources at their target weights: a row comes as often as it is drawn, k repeated rows as often as all k are."""
+    drawn = draws(docs.withColumn("__same", _same(*docs.columns)), carry=("__same",)).groupBy("__same").agg(F.count("*").cast("int").alias("__n"))
+    rows = _one_each(docs, *docs.columns).join(drawn.hint("merge"), "__same")
+    return rows.select("__row.*", F.explode(F.sequence(F.lit(1), "__n")).alias("__draw")).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
