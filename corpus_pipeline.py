@@ -30,12 +30,12 @@ def _one_each(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text the classifier accepts, whatever their id; repeated rows stay at their number."""
+    """Rows whose own text the classifier accepts, whatever their id, null too; repeated rows stay at their number."""
     return accepted(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; documents of which nothing is left go with them."""
+    """Later copies of line runs go; documents of which nothing is left go with them. Rows with a null id stay as they are."""
     out = line_dedup(docs)
     left = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0
     out = out.where((F.col("n_deleted") == 0) | left)
@@ -47,17 +47,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of similar ones: that with the smallest id.
 
     Rows that agree in id and text are one document, of which the least row stays; rows of one id with other
-    texts are documents of their own.
+    texts are documents of their own. Rows with a null id have no class and all stay.
     """
     named = docs.where("doc_id is not null")
     one = saved(_one_each(named, "doc_id", "text").select("__row.*"), "documents").withColumn("__key", F.xxhash64("doc_id", "text"))
     classes = similar_classes(one, key="__key").select(F.col("doc_id").alias("__key"), "component_id")
     first = one.select("__key", "doc_id").join(classes, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select("first.__key")
-    return one.join(first.hint("merge"), "__key", "left_semi").select(*docs.columns)
+    return one.join(first.hint("merge"), "__key", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row comes as often as it is drawn, k repeated rows as often as all k are."""
+    """Sources at their target weights: a row comes as often as it is drawn, k repeated rows as often as all k are.
+
+    Rows with a null in any column are drawn like others; rows without words aren't drawn.
+    """
     drawn = draws(docs.withColumn("__same", _same(*docs.columns)), carry=("__same",)).groupBy("__same").agg(F.count("*").cast("int").alias("__n"))
     rows = _one_each(docs, *docs.columns).join(drawn.hint("merge"), "__same")
     return rows.select("__row.*", F.explode(F.sequence(F.lit(1), "__n")).alias("__draw")).select(*docs.columns)

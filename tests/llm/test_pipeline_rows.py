@@ -57,3 +57,36 @@ def test_mix_draws_repeated_rows_as_often_as_they_are_there(spark):
     want = draws(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()
     got = corpus_pipeline.mix(spark, docs, SF).withColumn("tokens", F.size(F.split("text", " "))).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and sum(r["n"] for r in want) > docs.count() / 2
+
+
+def test_quality_judges_rows_without_id(spark, verdicts):
+    docs, good, bad = verdicts
+    more = docs.union(frame(spark, [(None, bad["text"], "x"), (None, good["text"], "x"), (None, good["text"], "x")]))
+    assert ids_and_texts(corpus_pipeline.quality(spark, more, SF).where("doc_id is null")) == {(None, good["text"]): 2}
+
+
+def test_lines_leaves_rows_without_id(spark):
+    run = "\n".join(words(f"r{k}", 5) for k in range(4))
+    got = ids_and_texts(corpus_pipeline.lines(spark, frame(spark, [(1, run, "x"), (None, run, "x"), (None, run, "x"), (None, None, "x")]), SF))
+    assert got == {(1, run): 1, (None, run): 2, (None, None): 1}
+
+
+def test_near_duplicates_keeps_rows_without_id(spark):
+    rows = [(1, words("a"), "x"), (2, words("a"), "x"), (None, words("a"), "x"), (None, words("a"), "x"), (None, None, "x"), (3, None, "x")]
+    got = ids_and_texts(corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF))
+    assert got == {(1, words("a")): 1, (None, words("a")): 2, (None, None): 1, (3, None): 1}
+
+
+def test_mix_draws_rows_with_nulls(spark):
+    rows = [(i, words(f"l{i}"), "large") for i in range(40)] + [(None, words("n"), "large"), (None, words("n"), "large"), (None, words("m"), None), (90, words("k"), None), (None, None, "large")]
+    docs = frame(spark, rows)
+    want = {tuple(r) for r in draws(docs).groupBy("doc_id", "source").agg(F.count("*").alias("n")).collect()}
+    got = corpus_pipeline.mix(spark, docs, SF)
+    assert {tuple(r) for r in got.groupBy("doc_id", F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n")).collect()} == want
+    assert {n for i, s, n in want if i is None} and {r["text"] for r in got.where("doc_id is null").collect()} >= {words("m")}
+
+
+def test_packing_holds_rows_without_id(spark):
+    docs = frame(spark, [(1, words("a"), "x"), (None, words("n"), "x"), (None, words("m"), "x")])
+    got = corpus_pipeline.sequences(spark, docs, SF)
+    assert got.where("doc_id is null and piece = 0").count() == 2 and got.where("piece = 0").count() == 3
