@@ -1,8 +1,10 @@
-"""Line dedup by a suffix array over line ids, built by distributed prefix doubling.
+"""Line dedup by classes of line windows: the first ranks of a suffix array, by distributed prefix doubling.
 
 The non-blank lines of all documents form one sequence of line ids, with a break after each document.
-Suffixes are ranked by their first 1, 2, 4, .. lines: the rank of 2d lines is the place, in sorted order,
-of the pair (rank of d lines here, rank of d lines d further on). Suffixes with one rank at depth d are an
+Suffixes are ranked by their first 1, 2, .. `min_lines` lines and no further: the rank of d lines is the place,
+in sorted order, of the pair (rank of the first h lines, rank of the d - h lines after them), h the largest
+power of two below d. No full suffix order or longest common prefix is built, as deletions don't need them:
+each `min_lines` window of a longer later copy is itself a later copy, and together they cover it. Suffixes with one rank at depth d are an
 interval of the suffix array whose longest common prefix is d lines or more. Suffixes that are alone in
 their interval drop out at once, so what is sorted shrinks to what repeats. Classes are counted before
 they are sorted, one row each, so that a line in a third of all rows is one row too.
