@@ -4,7 +4,9 @@ A source's weight is its share of tokens to the power alpha, normalised. alpha l
 alike) and 1 (natural shares) and is found by bisection: the largest whose weights reach the target
 entropy, but no smaller than the repetition limit allows. A source then gives weight x budget tokens: whole
 epochs, and of the last epoch a prefix of its blocks in the order of a hash of (seed, epoch, block), then of
-the last block's documents in the order of a hash, up to what is left. Blocks are summed by the head of their
+the last block's documents in the order of a hash, up to what is left. The first document that doesn't fit
+ends the source, as the SQL has it, so a source falls short of its quota by less than that document's tokens,
+however few blocks it has; no later document fills the room. Blocks are summed by the head of their
 hash first, so a source of any size needs 4096 sums in one place, the blocks of one head, and only its last
 block's documents in order.
 
