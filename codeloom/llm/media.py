@@ -19,6 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
+from codeloom.llm.common import saved, table
 from codeloom.llm.words import utf8
 
 WIDTH = 64
@@ -138,37 +139,50 @@ def feature(image: np.ndarray) -> str:
 COLUMNS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _describe(raw: bytes) -> tuple[bytes, tuple]:
-    png = encode(pad(raw))
-    image = decode(png)
-    back = image.tobytes()
-    return png, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(image))
+def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes and the text's PNG in the binary column `media`. One pass; a worker holds one batch."""
+    import pyarrow as pa
 
+    frame = docs.select(key, text)
+    kind = frame.schema[key].dataType.simpleString()
 
-def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
-    """key, the columns of COLUMNS as read back from the stored bytes, and (keep_media) the PNG itself as `media`.
+    def run(batches):
+        for b in batches:
+            raw = utf8(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(pad(x)) for x in raw], pa.binary())], names=[key, "n_bytes", "media"])
 
-    One pass without a shuffle; a worker holds one batch of texts.
-    """
+    return frame.mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
+
+
+def describe(stored: DataFrame, key: str = "doc_id", keep_media: bool = True) -> DataFrame:
+    """key and COLUMNS of what store() made, all but n_bytes from the bytes in `media`, which keep_media passes on."""
     import pyarrow as pa
 
-    frame = docs.select(key, text)
+    frame = stored.select(key, "n_bytes", "media")
     kind = frame.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {COLUMNS}" + (", media binary" if keep_media else "")
+    names = [x.split()[0] for x in COLUMNS.split(", ")]
+
+    def one(png: bytes) -> tuple:
+        image = decode(png)
+        back = image.tobytes()
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(image)
 
     def run(batches):
-        names = [x.split()[0] for x in COLUMNS.split(", ")]
         for b in batches:
-            done = [_describe(raw) for raw in utf8(b.column(1))]
-            columns = [b.column(0)] + [pa.array([d[1][i] for d in done], pa.string() if n.endswith(("sha256", "feature")) else pa.int64()) for i, n in enumerate(names)]
-            if keep_media:
-                columns.append(pa.array([d[0] for d in done], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=[key, *names, *(["media"] if keep_media else [])])
+            done = [one(x) for x in b.column(2).to_pylist()]
+            columns = [b.column(0), b.column(1)] + [pa.array([d[i] for d in done], pa.string() if n.endswith(("sha256", "feature")) else pa.int64()) for i, n in enumerate(names[1:])]
+            yield pa.RecordBatch.from_arrays(columns + [b.column(2)] * keep_media, names=[key, *names, *["media"] * keep_media])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(run, f"`{key}` {kind}, {COLUMNS}" + ", media binary" * keep_media)
 
 
-def op5_media_columns(spark, sf_dir):
-    from codeloom.llm.common import table
+def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_media: bool = True) -> DataFrame:
+    """key, the columns of COLUMNS as read back from the stored table, and (keep_media) the PNG itself as `media`.
 
+    The binary column is written to the shared folder and read again; no shuffle.
+    """
+    return describe(saved(store(docs, key, text), "media"), key, keep_media)
+
+
+def op5_media_columns(spark, sf_dir):
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False)
