@@ -2,12 +2,17 @@
 
 `pieces` tokenises whole texts (null: empty) and cuts only what is longer than a sequence: full pieces
 from the end, so that just the first may be shorter. `pack` deals pieces to groups of bounded size by a
-hash and packs every group online: open bins stand in a bitset keyed by free space; a piece goes to the
-bin with the least free space that still holds it; where none does and all bins are open, the fullest
-closes first. Pieces arrive longest first, so short ones fill what long ones leave. Groups are independent tasks, so a lost executor costs only its own groups.
-
-Defined results: an empty text is one piece of its end id; repeated rows are packed once each; an empty
-table gives an empty result. Only the key and text columns are read.
+hash and packs every group online: a fixed number of open bins stands in a bitset keyed by free space; a
+piece goes to the bin with the least free space that still holds it; where none does and all bins are
+open, the fullest closes first. Arrival rule: pieces come in the order of their hash, in windows of about
+`window` pieces, and within a window the longest first, ties by hash. Bins stay open from window to window.
+A packer's memory is its open bins. Groups are independent tasks, so a lost executor costs only its own.
+
+Defined results: a null or empty text is one piece of its end id; repeated rows and rows with a null id are
+packed once each, and since the hash is over all columns and the partition, no key puts more rows into one
+group than a partition has; a very long text is cut like any other; an empty table gives an empty result.
+Only the key and text columns are read, so further columns, whatever their names, don't matter to `pieces`;
+`pack` passes the columns of its parts on, and those named sequence_id or offset are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from codeloom.llm.bpe import default_path, encoder
 from codeloom.llm.common import saved, table
@@ -93,33 +99,35 @@ class Packer:
         return at
 
 
-def pack(parts: DataFrame, most: int = 2048, open_bins: int = 4096, group_rows: int = 8000, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece"), most_tasks: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, most: int = 2048, open_bins: int = 128, group_rows: int = 32_000, window: int = 256, length: str = "length", most_tasks: int = 20_000) -> DataFrame:
     """parts with sequence_id and offset. parts should be stored: it is counted first.
 
-    Groups follow from the keys and the number of parts alone; a task packs one group or, beyond
-    most_tasks, several, one after the other."""
+    A task packs one group or, beyond most_tasks, several, one after the other."""
     import pyarrow as pa
 
+    parts = parts.drop("sequence_id", "offset")
     groups = max(1, math.ceil(parts.count() / group_rows))
-    tasks, order = min(groups, most_tasks), F.xxhash64(*keys)
-    dealt = parts.withColumn("__group", F.pmod(order, F.lit(groups)).cast("long"))
-    dealt = dealt.repartitionById(tasks, (F.col("__group") % tasks).cast("int")).sortWithinPartitions("__group", F.desc(length), order, *keys)
-    at = parts.columns.index(length)
+    tasks, size = min(groups, most_tasks), parts.columns
+    place = F.struct(F.xxhash64(*size, F.spark_partition_id()).alias("h"), F.col(length).cast("long").alias("n"))
+    dealt = parts.select(F.struct(*size).alias("part"), place.alias("at"))
+    dealt = dealt.select("part", "at", F.pmod("at.h", F.lit(groups)).cast("long").alias("group"), F.pmod(F.xxhash64("at.h"), F.lit(max(1, group_rows // window))).alias("window"))
+    dealt = dealt.repartitionById(tasks, (F.col("group") % tasks).cast("int")).sortWithinPartitions("group", "window", F.desc("at.n"), "at.h")
 
     def run(batches):
         packer, group = None, None
         for b in batches:
             ids, offsets = [], []
-            for g, n in zip(b.column(b.num_columns - 1).to_pylist(), b.column(at).to_pylist()):
+            for g, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if g != group:
                     packer, group = Packer(most, open_bins), g
                 made, offset = packer.place(n)
                 ids.append((g << 32) + made)
                 offsets.append(offset)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=[*b.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=["part", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    schema = StructType([dealt.schema["part"], StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    out = dealt.select("part", "group", "at.n").mapInArrow(run, schema)
+    return out.select("part.*", "sequence_id", "offset")
 
 
 def op8_best_fit_packing(spark, sf_dir):
