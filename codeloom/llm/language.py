@@ -7,7 +7,10 @@ of the distance between ranks, or the profile's length where the language lacks
 
 Defined results: `und` with score 0 for a null text or one without a letter, and for every text where
 no labelled text was given; equal distances go to the language first by name. Labelled texts without
-letters teach nothing. Repeated rows get equal results; an empty table gives an empty result.
+letters teach nothing. Repeated rows get equal results, rows with a null id like any others; a very long
+text counts whole, block by block; an empty table gives an empty result. Only the key, text and lang columns
+are read, so further columns, whatever their names, don't matter. What is collected and broadcast is one
+rate and `size` n-grams a language: the number of languages is taken to be bounded.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from codeloom.llm.common import saved, table
 
@@ -140,11 +144,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = 3
         yield out()
 
     totals = saved(chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "profile")
-    ranked = {}
-    for name in sorted(rates):  # a top-k each: no language's n-grams meet in one task
-        best = totals.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()
-        ranked[name] = [r["gram"] for r in best]
-    return Profiles({k: v for k, v in ranked.items() if v}, size)
+    # the top of each slice of a language, then of the language: one job, and no task holds all n-grams of one
+    order = [F.desc("n"), F.asc("gram")]
+    sliced = totals.withColumn("k", F.row_number().over(Window.partitionBy("lang", F.pmod("gram", F.lit(16))).orderBy(*order))).where(F.col("k") <= size)
+    best = sliced.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= size)
+    ranked: dict[str, list[int]] = {}
+    for r in sorted(best.select("lang", "k", "gram").collect()):  # at most languages x size
+        ranked.setdefault(r["lang"], []).append(r["gram"])
+    return Profiles(ranked, size)
 
 
 def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
