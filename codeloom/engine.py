@@ -2,43 +2,76 @@
 
 from __future__ import annotations
 
+import logging
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.relations import P, Relations
+from codeloom.operators.relations import LocalRelations, P, Relations
 from codeloom.plans.planner import Planner
-from codeloom.plans.pql import QuerySyntaxError, parse_query
-from codeloom.sources.facts import FactTables, fact_tables, parsed, read_programs
+from codeloom.plans.pql import QuerySyntaxError, listing, parse_query
+from codeloom.sources.facts import FactTables, fact_tables, local_facts, parsed, read_programs
+from codeloom.sources.simple import Facts, ProgramError, parse_program
+
+log = logging.getLogger("codeloom")
 
 
 class Engine:
-    """Answers queries over one program or a corpus. A program that can't be parsed has no answers."""
+    """Answers queries over one program or a corpus. A program that can't be parsed has no answers.
+
+    keep: relations that are computed within programs stay cached between queries, until release().
+    timings: (step, seconds) of reading and planning queries and, for evaluate(), of running them.
+    """
 
-    def __init__(self, spark: SparkSession, facts: FactTables, errors: DataFrame | None = None):
+    def __init__(self, spark: SparkSession, facts: FactTables, errors: DataFrame | None = None, keep: bool = False):
         self.spark, self.facts, self.errors = spark, facts, errors
-        self.relations = Relations(facts)
+        self.relations = Relations(facts, keep)
+        self.timings: list[tuple[str, float]] = []
 
     @classmethod
     def load(cls, spark: SparkSession, program: str) -> Engine:
-        return cls.corpus(spark, spark.createDataFrame([("program", program)], "program_id string, text string"))
+        """One program, parsed here; of one that can't be parsed, the error."""
+        try:
+            parsed_here, error = parse_program(program), None
+        except ProgramError as e:
+            parsed_here, error = Facts(), str(e)
+        facts = local_facts(spark, parsed_here)
+        if error is not None:
+            facts.program = facts.program.where(F.lit(False))
+        errors = spark.createDataFrame([] if error is None else [("program", error)], f"{P} string, error string")
+        out = cls(spark, facts, errors, keep=True)
+        out.relations = LocalRelations(facts, parsed_here)
+        return out
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Engine:
-        return cls.corpus(spark, read_programs(spark, path))
+    def read(cls, spark: SparkSession, path: str, keep: bool = False) -> Engine:
+        return cls.corpus(spark, read_programs(spark, path), keep)
 
     @classmethod
-    def corpus(cls, spark: SparkSession, sources: DataFrame) -> Engine:
+    def corpus(cls, spark: SparkSession, sources: DataFrame, keep: bool = False) -> Engine:
         """sources: (program_id, text)."""
         bundle = parsed(sources).persist()
-        return cls(spark, fact_tables(bundle), bundle.where("error is not null").select(P, "error"))
+        return cls(spark, fact_tables(bundle), bundle.where("error is not null").select(P, "error"), keep)
+
+    def _timed(self, step: str, began: float) -> None:
+        self.timings.append((step, time.perf_counter() - began))
+        log.debug("%s: %.3f s", *self.timings[-1])
 
     def query(self, pql: str) -> DataFrame:
         """(program_id, c1, ..) or, for BOOLEAN, (program_id, result); no rows on a syntax error."""
+        began = time.perf_counter()
         try:
             q = parse_query(pql)
-        except QuerySyntaxError:
+        except QuerySyntaxError as e:
+            log.debug("syntax error: %s", e)
             return self.facts.program.where(F.lit(False)).select(P, F.lit(None).cast("string").alias("c1"))
-        return Planner(self.relations).plan(q)
+        self._timed("read", began)
+        log.debug("query\n%s", listing(q))
+        began = time.perf_counter()
+        out = Planner(self.relations).plan(q)
+        self._timed("plan", began)
+        return out
 
     def strings(self, pql: str) -> DataFrame:
         """(program_id, answer): cells joined by a blank, booleans as TRUE and FALSE."""
@@ -48,4 +81,10 @@ class Engine:
 
     def evaluate(self, pql: str) -> list[str]:
         """The answers of a single program, at the edge of the engine."""
-        return sorted(r["answer"] for r in self.strings(pql).collect())
+        rows, began = self.strings(pql), time.perf_counter()
+        out = sorted(r["answer"] for r in rows.collect())
+        self._timed("run", began)
+        return out
+
+    def release(self) -> None:
+        self.relations.release()

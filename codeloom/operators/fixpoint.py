@@ -10,14 +10,18 @@ from codeloom.session import cut
 
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(program_id, l, r): all paths of one edge or more. Path doubling: each round joins the newest paths
-    with all paths, on both sides, so rounds grow with the logarithm of the longest path. Cycles end it too."""
-    every = cut(edges.select("program_id", "l", "r").distinct())
-    new = every
-    for _ in range(most_rounds):
-        step = lambda a, b: a.select("program_id", "l", F.col("r").alias("m")).join(b.select("program_id", F.col("l").alias("m"), "r"), ["program_id", "m"]).select("program_id", "l", "r")
-        found = step(new, every).union(step(every, new)).distinct()
-        new = cut(found.join(every, ["program_id", "l", "r"], "left_anti"))
+    with all paths, on both sides, so rounds grow with the logarithm of the longest path; beyond most_rounds,
+    paths of 2^64 edges, it raises. Cycles end it too. Each round writes its new paths once; all paths are
+    the rounds' tables together."""
+    key = ["program_id", "l", "r"]
+    step = lambda a, b: a.select("program_id", "l", F.col("r").alias("m")).join(b.select("program_id", F.col("l").alias("m"), "r"), ["program_id", "m"]).select(*key)
+    new = every = cut(edges.select(*key).distinct())
+    for k in range(most_rounds):
+        found = step(new, every)
+        if k:  # at first both are the edges
+            found = found.union(step(every, new))
+        new = cut(found.distinct().join(every, key, "left_anti"))
         if new.isEmpty():
             return every
-        every = cut(every.union(new))
+        every = every.union(new)
     raise RuntimeError(f"closure not complete after {most_rounds} rounds")

@@ -1,110 +1,232 @@
-"""Relations over the facts, each a DataFrame (program_id, l, r), built when first asked for."""
+"""Relations over the facts, each a DataFrame (program_id, l, r), built when first asked for.
+
+What follows from the places of statements is window functions and sequences; relations along control flow
+and calls are computed within each program (operators/flow.py). Where programs are flat, lists of statements
+without containers or calls, all but their closures are window functions too, split by variable, so that a
+long program is no unit of work. Relations of statements may carry lk and rk, the kinds of both sides.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.operators.fixpoint import closure
-from codeloom.operators.flow import KERNELS, Program
+from codeloom.operators.flow import BLOCK, KERNELS, TYPES, WIDE, Program
 from codeloom.session import workers_find_us
-from codeloom.sources.facts import FactTables
+from codeloom.sources.facts import PACKED, FactTables
+from codeloom.sources.simple import Facts
 
 P = "program_id"
+#: Pairs that a task holds before it passes them on.
+RUN = 200_000
 
 
 class Relations:
-    def __init__(self, facts: FactTables):
-        self.facts, self._held = facts, {}
+    """keep: relations that are computed within programs are cached for further queries, until release();
+    else only those that a query uses more than once."""
+
+    def __init__(self, facts: FactTables, keep: bool = False):
+        self.facts, self.keep, self._held, self._cached = facts, keep, {}, []
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._held:
-            made = self._kernel(name) if name in KERNELS else getattr(self, f"_{name}")()
-            self._held[name] = made.persist()
-        return self._held[name]
+        return self.between(name)
+
+    def between(self, name: str, left: int | None = None, right: int | None = None, again: bool = False) -> DataFrame:
+        """The relation; with left or right only its pairs from or to that statement, found from there."""
+        own = getattr(self, f"_flat_{name}", None) if self.facts.flat else getattr(self, f"_{name}", None)
+        own = own or getattr(self, f"_{name}", None)
+        key = name if own else (name, left, right)
+        if key not in self._held:
+            made = own() if own else self._kernel(name, left, right)
+            if (self.keep or again) and not own:
+                self._cached.append(made.persist())
+            self._held[key] = made
+        return self._held[key]
 
     def release(self) -> None:
-        for df in self._held.values():
+        for df in self._cached:
             df.unpersist()
         self._held.clear()
+        self._cached.clear()
 
     def _follows(self) -> DataFrame:
         order = Window.partitionBy(P, "list_id").orderBy("pos")
-        return self.facts.stmt.select(P, F.col("stmt_no").alias("l"), F.lead("stmt_no").over(order).alias("r")).where("r is not null")
+        rows = self.facts.stmt.select(P, F.col("stmt_no").alias("l"), F.lead("stmt_no").over(order).alias("r"), F.col("kind").alias("lk"), F.lead("kind").over(order).alias("rk"))
+        return rows.where("r is not null")
 
     def _follows_t(self) -> DataFrame:
-        a = self.facts.stmt.select(P, "list_id", F.col("stmt_no").alias("l"), F.col("pos").alias("lp"))
-        b = self.facts.stmt.select(P, "list_id", F.col("stmt_no").alias("r"), F.col("pos").alias("rp"))
-        return a.join(b, [P, "list_id"]).where("lp < rp").select(P, "l", "r")
+        a = self.facts.stmt.select(P, "list_id", F.col("stmt_no").alias("l"), F.col("pos").alias("lp"), F.col("kind").alias("lk"))
+        b = self.facts.stmt.select(P, "list_id", F.col("stmt_no").alias("r"), F.col("pos").alias("rp"), F.col("kind").alias("rk"))
+        return a.join(b, [P, "list_id"]).where("lp < rp").select(P, "l", "r", "lk", "rk")
 
     def _parent(self) -> DataFrame:
         return self.facts.stmt.where("parent_stmt is not null").select(P, F.col("parent_stmt").alias("l"), F.col("stmt_no").alias("r"))
 
     def _parent_t(self) -> DataFrame:
-        return self.facts.stmt.select(P, F.explode("ancestors").alias("l"), F.col("stmt_no").alias("r"))
+        # statements count in source order, so those within a container are a range
+        inside = F.explode(F.sequence(F.col("stmt_no") + 1, F.col("last_inside")))
+        return self.facts.stmt.where("last_inside > stmt_no").select(P, F.col("stmt_no").alias("l"), inside.alias("r"))
 
     def _calls(self) -> DataFrame:
         return self.facts.stmt.where("callee is not null").select(P, F.col("proc_name").alias("l"), F.col("callee").alias("r")).distinct()
 
-    def _calls_t(self) -> DataFrame:
-        return closure(self["calls"])
+    def _next(self) -> DataFrame:
+        return self.facts.cfg_next.select(P, F.col("src").alias("l"), F.col("dst").alias("r"))
 
-    def _by_proc(self, direct: DataFrame) -> DataFrame:
-        own = direct.join(self.facts.stmt.select(P, "stmt_no", "proc_name"), [P, "stmt_no"]).select(P, F.col("proc_name").alias("l"), F.col("var").alias("r")).distinct()
-        called = self["calls_t"].select(P, "l", F.col("r").alias("q")).join(own.withColumnRenamed("l", "q"), [P, "q"]).select(P, "l", "r")
-        return own.union(called).distinct()
+    def _condition_uses(self) -> DataFrame:
+        return self.facts.direct_uses.where("in_condition").select(P, F.col("stmt_no").alias("l"), F.col("var").alias("r")).distinct()
 
-    def _by_stmt(self, direct: DataFrame, by_proc: str) -> DataFrame:
-        calls = self.facts.stmt.where("callee is not null").select(P, F.col("stmt_no").alias("s"), F.col("callee").alias("l"))
-        own = direct.select(P, F.col("stmt_no").alias("s"), F.col("var").alias("r"))
-        own = own.union(calls.join(self[by_proc], [P, "l"]).select(P, "s", "r"))
-        above = self.facts.stmt.select(P, F.col("stmt_no").alias("s"), F.explode(F.concat("ancestors", F.array("stmt_no"))).alias("l"))
-        return own.join(above, [P, "s"]).select(P, "l", "r").distinct()
+    # --- flat programs
 
-    def _uses_p(self) -> DataFrame:
-        return self._by_proc(self.facts.direct_uses)
+    def _flat_calls_t(self) -> DataFrame:
+        return self._calls()
 
-    def _uses_s(self) -> DataFrame:
-        return self._by_stmt(self.facts.direct_uses, "uses_p")
+    def _flat_next(self) -> DataFrame:
+        return self._follows()
 
-    def _modifies_p(self) -> DataFrame:
-        return self._by_proc(self.facts.direct_modifies)
+    def _flat_next_t(self) -> DataFrame:
+        return self._follows_t()
 
-    def _modifies_s(self) -> DataFrame:
-        return self._by_stmt(self.facts.direct_modifies, "modifies_p")
+    def _flat_next_bip(self) -> DataFrame:
+        return self._follows()
 
-    def _next(self) -> DataFrame:
-        return self.facts.cfg_next.select(P, F.col("src").alias("l"), F.col("dst").alias("r"))
+    def _flat_next_bip_t(self) -> DataFrame:
+        return self._follows_t()
 
-    def _condition_uses(self) -> DataFrame:
-        return self.facts.direct_uses.where("in_condition").select(P, F.col("stmt_no").alias("l"), F.col("var").alias("r")).distinct()
+    def _flat_uses_s(self) -> DataFrame:
+        return self.facts.direct_uses.select(P, F.col("stmt_no").alias("l"), F.col("var").alias("r")).distinct()
+
+    def _flat_modifies_s(self) -> DataFrame:
+        return self.facts.direct_modifies.select(P, F.col("stmt_no").alias("l"), F.col("var").alias("r")).distinct()
+
+    def _flat_by_proc(self, direct: DataFrame) -> DataFrame:
+        names = self.facts.proc.select(P, F.col("proc_name").alias("l"))
+        return names.join(direct.select(P, F.col("var").alias("r")).distinct(), P).select(P, "l", "r")
+
+    def _flat_uses_p(self) -> DataFrame:
+        return self._flat_by_proc(self.facts.direct_uses)
+
+    def _flat_modifies_p(self) -> DataFrame:
+        return self._flat_by_proc(self.facts.direct_modifies)
+
+    def _flat_affects(self) -> DataFrame:
+        """Of each use the last statement before it that gives the variable a value, where that is an assignment."""
+        place = self.facts.stmt.select(P, "stmt_no", "pos", "kind")
+        sets = self.facts.direct_modifies.join(place, [P, "stmt_no"]).select(P, "var", "pos", F.lit(0).alias("reads"), F.struct("stmt_no", "kind").alias("set"), F.lit(None).cast("int").alias("r"))
+        reads = self.facts.direct_uses.join(place.where("kind = 'assign'"), [P, "stmt_no"]).select(P, "var", "pos", F.lit(1).alias("reads"), F.lit(None).cast(sets.schema["set"].dataType).alias("set"), F.col("stmt_no").alias("r"))
+        before = Window.partitionBy(P, "var").orderBy("pos", F.desc("reads")).rowsBetween(Window.unboundedPreceding, -1)
+        rows = sets.union(reads).withColumn("set", F.last("set", ignorenulls=True).over(before))
+        return rows.where("reads = 1 and set.kind = 'assign'").select(P, F.col("set.stmt_no").alias("l"), "r")
 
-    def _kernel(self, name: str) -> DataFrame:
-        """A relation that is computed within each program."""
+    def _flat_affects_bip(self) -> DataFrame:
+        return self._flat_affects()
+
+    # --- within programs
+
+    def _kernel(self, name: str, left: int | None, right: int | None) -> DataFrame:
+        """A relation that is computed within each program, from one constant where there is one. A program
+        of more than BLOCK statements is dealt to several tasks, by blocks of targets, for what may hold all pairs."""
         import pyarrow as pa
 
-        f = self.facts
-        workers_find_us(f.stmt.sparkSession)
-        parts = {
-            "stmts": f.stmt.groupBy(P).agg(F.collect_list(F.struct("stmt_no", "kind", "proc_name", "list_id", "pos", "parent_stmt", "callee")).alias("stmts")),
-            "nexts": f.cfg_next.groupBy(P).agg(F.collect_list(F.struct("src", "dst")).alias("nexts")),
-            "uses": f.direct_uses.groupBy(P).agg(F.collect_list(F.struct("stmt_no", "var")).alias("uses")),
-            "modifies": f.direct_modifies.groupBy(P).agg(F.collect_list(F.struct("stmt_no", "var")).alias("modifies")),
-        }
-        rows = parts["stmts"]
-        for k in ("nexts", "uses", "modifies"):
-            rows = rows.join(parts[k], P, "left")
+        rows = self.facts.packed
+        workers_find_us(rows.sparkSession)
+        types = [pa.int32() if t == "int" else pa.string() for t in TYPES[name]]
+        wide = name in WIDE and left is None and right is None
 
         def run(batches):
+            ids, ls, rs, size = [], [], [], 0
+
+            def out():
+                index = pa.array(np.repeat(np.arange(len(rs)), [len(x) for x in rs]))
+                columns = [pa.array(ids, pa.string()).take(index), pa.array(ls, types[0]).take(index), pa.array([x for part in rs for x in part], types[1])]
+                return pa.RecordBatch.from_arrays(columns, names=[P, "l", "r"])
+
             for b in batches:
-                ids, left, right = [], [], []
-                for i, *lists in zip(*(c.to_pylist() for c in b.columns)):
-                    pairs = KERNELS[name](Program(*([tuple(x.values()) for x in part or []] for part in lists)))
-                    for x, y in pairs:
-                        ids.append(i)
-                        left.append(x)
-                        right.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=[P, "l", "r"])
-
-        return rows.select(P, "stmts", "nexts", "uses", "modifies").mapInArrow(run, f"{P} string, l int, r int")
+                for k in range(b.num_rows):
+                    i, part, *lists = (c[0].as_py() for c in b.slice(k, 1).columns)
+                    program = Program(*([tuple(x.values()) for x in items or []] for items in lists))
+                    more = {"part": part} if wide else {}
+                    for x, found in KERNELS[name](program, left=left, right=right, **more):
+                        if right is not None:
+                            found = [y for y in found if y == right]
+                        for at in range(0, len(found), RUN):
+                            ids.append(i)
+                            ls.append(x)
+                            rs.append(found[at : at + RUN])
+                            size += len(rs[-1])
+                            if size >= RUN:
+                                yield out()
+                                ids, ls, rs, size = [], [], [], 0
+            yield out()
+
+        if left is not None:
+            rows = rows.where(F.exists("stmts", lambda x: x["stmt_no"] == left))
+        if right is not None:
+            rows = rows.where(F.exists("stmts", lambda x: x["stmt_no"] == right))
+        one = rows.select(P, F.lit(None).cast("int").alias("part"), *PACKED)
+        schema = f"{P} string, l {TYPES[name][0]}, r {TYPES[name][1]}"
+        if not wide:
+            return one.mapInArrow(run, schema)
+        # nodes: statements, and less than twice as many beside them (the ends and insides of procedures)
+        large = rows.where(F.size("stmts") > BLOCK).select(P, F.explode(F.sequence(F.lit(0), (3 * F.size("stmts") / BLOCK).cast("int"))).alias("part"), *PACKED)
+        return one.where(F.size("stmts") <= BLOCK).mapInArrow(run, schema).union(large.repartition(P, "part").mapInArrow(run, schema))
+
+
+class LocalRelations(Relations):
+    """Relations of one program of at most `most` statements, found here and held as local tables, whose sizes
+    the planner knows: queries then need no shuffle to join them. Larger programs take the way of a corpus."""
+
+    def __init__(self, facts: FactTables, parsed: Facts, most: int = 1024):
+        super().__init__(facts, keep=True)
+        self.small, self.parsed = len(parsed.stmts) <= most, parsed
+        self.program = Program([(s[0], s[1], s[2], s[3], s[4], s[5], s[8]) for s in parsed.stmts], parsed.nexts, [u[:2] for u in parsed.uses], parsed.modifies)
+
+    def between(self, name: str, left: int | None = None, right: int | None = None, again: bool = False) -> DataFrame:
+        if not self.small:
+            return super().between(name, left, right, again)
+        if name not in self._held:
+            self._held[name] = self._local(name)
+        return self._held[name]
+
+    def _local(self, name: str) -> DataFrame:
+        import pyarrow as pa
+
+        if name in KERNELS:
+            pairs, types = [(x, y) for x, ys in KERNELS[name](self.program) for y in ys], TYPES[name]
+        else:
+            pairs, types = getattr(self, f"_pairs_{name}")(), ("string" if name == "calls" else "int", "string" if name in ("calls", "condition_uses") else "int")
+        kinds = [pa.int32() if t == "int" else pa.string() for t in types]
+        columns = {P: pa.array(["program"] * len(pairs), pa.string()), "l": pa.array([p[0] for p in pairs], kinds[0]), "r": pa.array([p[1] for p in pairs], kinds[1])}
+        for k, t in enumerate(types):
+            if t == "int":
+                columns[f"{'lr'[k]}k"] = pa.array([self.program.stmts[p[k]][1] for p in pairs], pa.string())
+        return self.facts.program.sparkSession.createDataFrame(pa.table(columns))
+
+    def _lists(self) -> list[list[int]]:
+        out: dict[int, list[int]] = {}
+        for s in self.parsed.stmts:
+            out.setdefault(s[3], []).append(s[0])
+        return list(out.values())
+
+    def _pairs_follows(self) -> list[tuple]:
+        return [p for ns in self._lists() for p in zip(ns, ns[1:])]
+
+    def _pairs_follows_t(self) -> list[tuple]:
+        return [(a, b) for ns in self._lists() for k, a in enumerate(ns) for b in ns[k + 1 :]]
+
+    def _pairs_parent(self) -> list[tuple]:
+        return [(s[5], s[0]) for s in self.parsed.stmts if s[5] is not None]
+
+    def _pairs_parent_t(self) -> list[tuple]:
+        return [(s[0], n) for s in self.parsed.stmts for n in range(s[0] + 1, s[6] + 1)]
+
+    def _pairs_calls(self) -> list[tuple]:
+        return sorted({(s[2], s[8]) for s in self.parsed.stmts if s[8] is not None})
+
+    def _pairs_next(self) -> list[tuple]:
+        return list(self.parsed.nexts)
+
+    def _pairs_condition_uses(self) -> list[tuple]:
+        return sorted({(n, v) for n, v, inside in self.parsed.uses if inside})

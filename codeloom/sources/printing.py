@@ -26,30 +26,34 @@ def _layout(facts: Facts, compact: bool) -> Iterator[tuple[int, int | None, str]
         if s[3] not in lists:
             inner[owner].append(s[3])
         lists[s[3]].append(s)
-    assigned = {n: f"{lhs} = {canon};" for n, lhs, canon, _ in facts.assigns}
-
-    def block(list_id: int, depth: int):
-        yield depth, None, "{"
-        for n, kind, _, _, _, _, _, operand, callee in lists[list_id]:
-            if kind in ("if", "while"):
-                e = facts.conditions[n]
-                condition = e.grouped if compact else f"({e.canon})"
-                then = ("then" if compact else " then") if kind == "if" else ""
-                yield depth + 1, n, f"{kind}{condition}{then}"
-                for k, part in enumerate(sorted(inner[n])):
-                    if k:
-                        yield depth + 1, None, "else"
-                    yield from block(part, depth + 1)
-            elif kind == "assign":
-                yield depth + 1, n, assigned[n]
-            else:
-                yield depth + 1, n, f"{kind} {callee if kind == 'call' else operand};"
-        yield depth, None, "}"
 
+    def statement(n: int, kind: str, operand: str, callee: str) -> str:
+        e = facts.trees.get(n)
+        if kind == "assign":
+            return f"{lhs[n]} = {e.canon};"
+        if kind in ("if", "while"):
+            condition = e.grouped if compact else f"({e.canon})"
+            return f"{kind}{condition}" + (("then" if compact else " then") if kind == "if" else "")
+        return f"{kind} {callee if kind == 'call' else operand};"
+
+    lhs = {n: name for n, name, _, _ in facts.assigns}
     for name, _ in facts.procs:
         yield 0, None, f"procedure {name}"
-        for body in inner[name]:
-            yield from block(body, 0)
+        # what is still to come, last first: a line, or the list to open at a depth
+        todo: list[tuple] = [(0, None, None, inner[name][0])]
+        while todo:
+            depth, n, text, opened = todo.pop()
+            if opened is None:
+                yield depth, n, text
+                continue
+            yield depth, None, "{"
+            todo.append((depth, None, "}", None))
+            for n, kind, _, _, _, _, _, operand, callee in reversed(lists[opened]):
+                for k, part in reversed(list(enumerate(sorted(inner[n])))):
+                    todo.append((depth + 1, None, None, part))
+                    if k:
+                        todo.append((depth + 1, None, "else", None))
+                todo.append((depth + 1, n, statement(n, kind, operand, callee), None))
 
 
 def program_text(facts: Facts, compact: bool = True) -> str:
@@ -68,7 +72,7 @@ def printed(sources: DataFrame, compact: bool = True) -> DataFrame:
     def listing(text: str | None) -> str | None:
         try:
             return program_text(parse_program(text or ""), compact)
-        except (ProgramError, RecursionError):
+        except ProgramError:
             return None
 
     def run(batches):

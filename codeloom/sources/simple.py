@@ -1,12 +1,16 @@
 """Front end of the SIMPLE language: one program text to fact rows.
 
-`parse_program` gives the facts of a program as plain lists; `parse_expression` the canonical form of an
-arithmetic expression, in which equal trees are equal strings. Errors raise ProgramError.
+`parse_program` gives the facts of a program as plain lists; `parse_expression` the tree of an arithmetic
+expression. Equal trees have equal keys: a name or number is its own key, any other tree's is a digest of its
+operator and its parts' keys, so a key is short whatever the depth. Readers are generators on a stack of
+their own (`_run`), so nesting has no limit but memory. Errors raise ProgramError.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"[ \t\r\n]*(?:([A-Za-z][A-Za-z0-9]*)|([0-9]+)|(==|!=|<=|>=|&&|\|\||[{}()<>;=+\-*/%!]))")
@@ -34,30 +38,71 @@ def tokens(text: str) -> list[tuple[str, str]]:
         at = m.end()
 
 
-@dataclass
 class Expr:
-    """canon: the fully parenthesised text; subtrees: canon of every arithmetic subtree."""
+    """A tree. kind: value, relation or logic; op: the operator, empty for a name or number, ! for a negation."""
+
+    __slots__ = ("key", "kind", "op", "left", "right", "names", "numbers", "subtrees")
+
+    def __init__(self, op: str, left: Expr | None, right: Expr | None, kind: str = "value", text: str = ""):
+        self.op, self.left, self.right, self.kind = op, left, right, kind
+        self.key = text or "#" + hashlib.md5(" ".join((op, *(x.key for x in (left, right) if x))).encode()).hexdigest()
+        self.names: set[str] = set()  # of the whole expression, at its root
+        self.numbers: set[str] = set()
+        self.subtrees: set[str] = set()  # keys of all arithmetic subtrees
+
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Expr) and (self.key, self.kind) == (other.key, other.kind)
+
+    __hash__ = None
 
-    canon: str
-    subtrees: set[str] = field(default_factory=set)
-    names: set[str] = field(default_factory=set)
-    numbers: set[str] = field(default_factory=set)
-    kind: str = "value"  # or "relation", "logic"
+    @property
+    def canon(self) -> str:
+        """The fully parenthesised text."""
+        out: list[str] = []
+        todo: list = [self]
+        while todo:
+            e = todo.pop()
+            if isinstance(e, str):
+                out.append(e)
+            elif not e.op:
+                out.append(e.key)
+            elif e.op == "!":
+                todo += [*reversed(e.left.within), "!"]
+            elif e.kind == "logic":
+                todo += [*reversed(e.right.within), f" {e.op} ", *reversed(e.left.within)]
+            else:
+                todo += [")", e.right, f" {e.op} ", e.left, "("]
+        return "".join(out)
+
+    @property
+    def within(self) -> list:
+        """Itself within parentheses; those that it has are enough."""
+        return [self] if self.op and self.kind != "logic" else ["(", self, ")"]
 
     @property
     def grouped(self) -> str:
-        """canon within parentheses; those that it has are enough."""
-        return f"({self.canon})" if self.kind == "logic" or self.canon[0] != "(" else self.canon
+        return self.canon if self.op and self.kind != "logic" else f"({self.canon})"
 
-    @staticmethod
-    def of(op: str, a: Expr, b: Expr, kind: str = "value") -> Expr:
-        canon = f"{a.grouped} {op} {b.grouped}" if kind == "logic" else f"({a.canon} {op} {b.canon})"
-        return Expr(canon, a.subtrees | b.subtrees | {canon}, a.names | b.names, a.numbers | b.numbers, kind)
+
+def _run(reader: Generator):
+    """What the reader returns; the readers that it yields are run in its place first."""
+    stack, value = [reader], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
 
 
 class _Reader:
     def __init__(self, text: str):
         self.items, self.at = tokens(text), 0
+        self.names: set[str] = set()
+        self.numbers: set[str] = set()
+        self.subtrees: set[str] = set()
 
     def peek(self) -> str:
         return self.items[self.at][1]
@@ -76,71 +121,82 @@ class _Reader:
         self.at += 1
         return text
 
-    # arithmetic: sums of products of atoms, left to right
-    def sum(self, first: Expr | None = None) -> Expr:
-        left = self.product(first)
-        while self.peek() in ("+", "-"):
-            op = self.take()
-            left = Expr.of(op, left, self.product())
-        return left
+    def whole(self, reader: Generator) -> Expr:
+        """The expression that the reader gives, with its names, numbers and subtrees."""
+        self.names, self.numbers, self.subtrees = set(), set(), set()
+        e = _run(reader)
+        e.names, e.numbers, e.subtrees = self.names, self.numbers, self.subtrees
+        return e
 
-    def product(self, first: Expr | None = None) -> Expr:
-        left = first or self.atom()
-        while self.peek() in ("*", "/", "%"):
-            op = self.take()
-            left = Expr.of(op, left, self.atom())
-        return left
+    def join(self, op: str, a: Expr, b: Expr) -> Expr:
+        e = Expr(op, a, b)
+        self.subtrees.add(e.key)
+        return e
 
-    def atom(self) -> Expr:
+    # arithmetic: sums of products of atoms, left to right
+    def sum(self, first: Expr | None = None):
+        total = sign = None
+        while True:
+            left = first or (yield from self.atom())
+            first = None
+            while self.peek() in ("*", "/", "%"):
+                op = self.take()
+                left = self.join(op, left, (yield from self.atom()))
+            total = left if total is None else self.join(sign, total, left)
+            if self.peek() not in ("+", "-"):
+                return total
+            sign = self.take()
+
+    def atom(self):
         kind, text = self.items[self.at]
-        if kind == "name":
+        if kind in ("name", "number"):
             self.at += 1
-            return Expr(text, {text}, {text})
-        if kind == "number":
-            self.at += 1
-            return Expr(text, {text}, set(), {text})
+            (self.names if kind == "name" else self.numbers).add(text)
+            self.subtrees.add(text)
+            return Expr("", None, None, text=text)
         self.take("(")
-        inside = self.sum()
+        inside = yield self.sum()
         self.take(")")
         return inside
 
     # conditions; inside parentheses a plain value may stand too
-    def condition(self, inside: bool = False) -> Expr:
+    def condition(self, inside: bool = False):
         if self.peek() == "!":
             self.take()
             self.take("(")
-            part = self.condition(True)
+            part = yield self.condition(True)
             self.take(")")
-            return Expr(f"!{part.grouped}", part.subtrees, part.names, part.numbers, "logic")
+            return Expr("!", part, None, "logic")
         left, grouped = None, self.peek() == "("
         if grouped:
             self.take("(")
-            left = self.condition(True)
+            left = yield self.condition(True)
             self.take(")")
             if self.peek() in ("+", "-", "*", "/", "%"):
                 if left.kind != "value":
                     raise ProgramError("a condition can't be calculated with")
-                left, grouped = self.sum(left), False
+                left, grouped = (yield self.sum(left)), False
         else:
-            left = self.sum()
+            left = yield self.sum()
         if self.peek() == ")" and inside:
             return left
         if self.peek() in RELATIONAL:
             if left.kind != "value":
                 raise ProgramError("conditions can't be compared")
-            return Expr.of(self.take(), left, self.sum(), "relation")
+            op = self.take()
+            return Expr(op, left, (yield self.sum()), "relation")
         if not grouped:
             raise ProgramError(f"expected a comparison, found {self.peek() or 'the end'!r}")
         op = self.take("&&", "||")
         self.take("(")
-        right = self.condition(True)
+        right = yield self.condition(True)
         self.take(")")
-        return Expr.of(op, left, right, "logic")
+        return Expr(op, left, right, "logic")
 
 
 def parse_expression(text: str) -> Expr:
     r = _Reader(text)
-    out = r.sum()
+    out = r.whole(r.sum())
     if r.items[r.at] != END:
         raise ProgramError(f"text after the expression: {r.peek()!r}")
     return out
@@ -151,13 +207,13 @@ class Facts:
     """Rows by fact table; statements count from 1 in source order."""
 
     procs: list[tuple] = field(default_factory=list)  # proc_name, proc_idx
-    stmts: list[tuple] = field(default_factory=list)  # stmt_no, kind, proc_name, list_id, pos, parent_stmt, ancestors, operand_var, callee
+    stmts: list[tuple] = field(default_factory=list)  # stmt_no, kind, proc_name, list_id, pos, parent_stmt, last_inside, operand_var, callee
     uses: list[tuple] = field(default_factory=list)  # stmt_no, var, in_condition
     modifies: list[tuple] = field(default_factory=list)  # stmt_no, var
-    assigns: list[tuple] = field(default_factory=list)  # stmt_no, lhs, rhs_canon, rhs_subtrees
+    assigns: list[tuple] = field(default_factory=list)  # stmt_no, lhs, rhs_key, rhs_subtrees
     consts: list[tuple] = field(default_factory=list)  # value
     nexts: list[tuple] = field(default_factory=list)  # src, dst
-    conditions: dict[int, Expr] = field(default_factory=dict)  # of if and while, for printing
+    trees: dict[int, Expr] = field(default_factory=dict)  # conditions and right sides, for printing
 
 
 class _Program(_Reader):
@@ -166,76 +222,78 @@ class _Program(_Reader):
         self.f, self.lists, self.values = Facts(), 0, set()
 
     def run(self) -> Facts:
+        seen = set()
         while self.items[self.at] != END:
             self.take("procedure")
             self.proc = self.name()
-            if any(p[0] == self.proc for p in self.f.procs):
+            if self.proc in seen:
                 raise ProgramError(f"two procedures named {self.proc}")
+            seen.add(self.proc)
             self.f.procs.append((self.proc, len(self.f.procs)))
             self.take("{")
-            self.flow(self.body(None, []), None)
+            self.flow(_run(self.body(None)))
         self.f.consts = [(v,) for v in sorted(self.values)]
         self.calls()
         return self.f
 
-    def body(self, parent: int | None, above: list[int]) -> list[tuple]:
+    def body(self, parent: int | None):
         """The statements up to the closing brace, as (number, kind, inner lists)."""
         self.lists += 1
         mine, out = self.lists, []
         while not out or self.peek() != "}":
-            out.append(self.statement(mine, len(out), parent, above))
+            word, n = self.name(), len(self.f.stmts) + 1
+            kind = "assign" if self.peek() == "=" else word
+            if kind not in ("assign", "read", "print", "call", "if", "while"):
+                raise ProgramError(f"no statement begins with {word!r}")
+            self.f.stmts.append(())
+            target = callee = None
+            inner: list[list[tuple]] = []
+            if kind == "assign":
+                self.take("=")
+                rhs = self.f.trees[n] = self.whole(self.sum())
+                self.f.modifies.append((n, word))
+                self.f.assigns.append((n, word, rhs.key, sorted(rhs.subtrees)))
+                self.note(n, rhs, False)
+            elif kind in ("if", "while"):
+                self.take("(")
+                self.f.trees[n] = self.whole(self.condition())
+                self.note(n, self.f.trees[n], True)
+                self.take(")")
+                if kind == "if":
+                    self.take("then")
+                for k in range(2 if kind == "if" else 1):
+                    if k:
+                        self.take("else")
+                    self.take("{")
+                    inner.append((yield self.body(n)))
+            elif kind == "call":
+                callee = self.name()
+            else:
+                target = self.name()
+                (self.f.modifies.append((n, target)) if kind == "read" else self.f.uses.append((n, target, False)))
+            if not inner:
+                self.take(";")
+            self.f.stmts[n - 1] = (n, kind, self.proc, mine, len(out), parent, len(self.f.stmts), target, callee)
+            out.append((n, kind, inner))
         self.take("}")
         return out
 
-    def statement(self, list_id: int, pos: int, parent: int | None, above: list[int]) -> tuple:
-        word, n = self.name(), len(self.f.stmts) + 1
-        kind = "assign" if self.peek() == "=" else word
-        if kind not in ("assign", "read", "print", "call", "if", "while"):
-            raise ProgramError(f"no statement begins with {word!r}")
-        self.f.stmts.append(())
-        target = callee = None
-        inner: list[list[tuple]] = []
-        if kind == "assign":
-            self.take("=")
-            rhs = self.sum()
-            self.f.modifies.append((n, word))
-            self.f.assigns.append((n, word, rhs.canon, sorted(rhs.subtrees)))
-            self.note(n, rhs, False)
-        elif kind in ("if", "while"):
-            self.take("(")
-            self.f.conditions[n] = self.condition()
-            self.note(n, self.f.conditions[n], True)
-            self.take(")")
-            if kind == "if":
-                self.take("then")
-            for k in range(2 if kind == "if" else 1):
-                if k:
-                    self.take("else")
-                self.take("{")
-                inner.append(self.body(n, [*above, n]))
-        elif kind == "call":
-            callee = self.name()
-        else:
-            target = self.name()
-            (self.f.modifies.append((n, target)) if kind == "read" else self.f.uses.append((n, target, False)))
-        if not inner:
-            self.take(";")
-        self.f.stmts[n - 1] = (n, kind, self.proc, list_id, pos, parent, above, target, callee)
-        return n, kind, inner
-
     def note(self, n: int, e: Expr, in_condition: bool) -> None:
         self.f.uses += [(n, v, in_condition) for v in sorted(e.names)]
         self.values |= e.numbers
 
-    def flow(self, body: list[tuple], after: int | None) -> None:
-        """Control flow within a list; after: where control goes at its end."""
-        for k, (n, kind, inner) in enumerate(body):
-            then = body[k + 1][0] if k + 1 < len(body) else after
-            for part in inner:
-                self.f.nexts.append((n, part[0][0]))
-                self.flow(part, n if kind == "while" else then)
-            if kind != "if" and then is not None:
-                self.f.nexts.append((n, then))
+    def flow(self, body: list[tuple]) -> None:
+        """Control flow of a procedure; after: where control goes at a list's end."""
+        todo: list[tuple[list[tuple], int | None]] = [(body, None)]
+        while todo:
+            rows, after = todo.pop()
+            for k, (n, kind, inner) in enumerate(rows):
+                then = rows[k + 1][0] if k + 1 < len(rows) else after
+                for part in inner:
+                    self.f.nexts.append((n, part[0][0]))
+                    todo.append((part, n if kind == "while" else then))
+                if kind != "if" and then is not None:
+                    self.f.nexts.append((n, then))
 
     def calls(self) -> None:
         to: dict[str, set[str]] = {p[0]: set() for p in self.f.procs}
@@ -244,13 +302,20 @@ class _Program(_Reader):
                 if s[8] not in to:
                     raise ProgramError(f"no procedure named {s[8]}")
                 to[s[2]].add(s[8])
-        left = dict(to)
-        while left:  # peel off procedures whose callees are all gone
-            leaves = [p for p, q in left.items() if not q & left.keys()]
-            if not leaves:
-                raise ProgramError("cyclic or recursive calls")
-            for p in leaves:
-                del left[p]
+        callers: dict[str, list[str]] = {p: [] for p in to}
+        for p, called in to.items():
+            for q in called:
+                callers[q].append(p)
+        left = {p: len(q) for p, q in to.items()}
+        leaves, done = [p for p, n in left.items() if not n], 0
+        while leaves:  # peel off procedures whose callees are all gone
+            done += 1
+            for p in callers[leaves.pop()]:
+                left[p] -= 1
+                if not left[p]:
+                    leaves.append(p)
+        if done < len(to):
+            raise ProgramError("cyclic or recursive calls")
 
 
 def parse_program(text: str) -> Facts:

@@ -19,25 +19,55 @@ def event_programs(events: DataFrame) -> FactTables:
     k = F.get_json_object("props", "$.k").cast("int")
     e = events.select(F.col("user_id").cast("string").alias(P), F.col("event_id").cast("int").alias("stmt_no"), "event_type", "ts", F.concat(F.lit("v"), k % 7).alias("target"), F.concat(F.lit("v"), F.floor(k / 7) % 7).alias("source"))
     kind = F.when(F.col("event_type").isin("purchase", "click"), "assign").when(F.col("event_type") == "signup", "read").otherwise("print")
+    e = e.withColumns({"kind": kind, "shown": F.when(F.col("event_type") == "view", F.col("source")).when(F.col("event_type") == "error", F.lit("failed"))})
     order = Window.partitionBy(P).orderBy("ts", "stmt_no")
-    e = e.withColumns({"kind": kind, "pos": F.row_number().over(order) - 1, "then": F.lead("stmt_no").over(order)})
-    shown = F.when(F.col("event_type") == "view", F.col("source")).when(F.col("event_type") == "error", F.lit("failed"))
-    operand = F.when(F.col("kind") == "read", F.col("target")).otherwise(shown)
-    stmt = e.select(P, "stmt_no", "kind", P, F.lit(1).alias("list_id"), "pos", F.lit(None).cast("int").alias("parent_stmt"), F.array().cast("array<int>").alias("ancestors"), operand.alias("operand_var"), F.lit(None).cast("string").alias("callee"))
-    stmt = stmt.toDF(P, "stmt_no", "kind", "proc_name", "list_id", "pos", "parent_stmt", "ancestors", "operand_var", "callee")
+    placed = e.withColumns({"pos": F.row_number().over(order) - 1, "then": F.lead("stmt_no").over(order)})
+    operand = F.when(F.col("kind") == "read", F.col("target")).otherwise(F.col("shown"))
+    stmt = placed.select(P, "stmt_no", "kind", F.col(P).alias("proc_name"), F.lit(1).alias("list_id"), "pos", F.lit(None).cast("int").alias("parent_stmt"), F.col("stmt_no").alias("last_inside"), operand.alias("operand_var"), F.lit(None).cast("string").alias("callee"))
     program = e.select(P).distinct()
+    used, rows = F.coalesce("shown", "source"), F.col("rows")
+    packed = e.groupBy(P).agg(F.sort_array(F.collect_list(F.struct("ts", "stmt_no", "kind", "target", used.alias("used")))).alias("rows"))
+    packed = packed.select(
+        P,
+        F.transform(rows, lambda x, i: F.struct(x["stmt_no"].alias("stmt_no"), x["kind"].alias("kind"), F.col(P).alias("proc_name"), F.lit(1).alias("list_id"), i.alias("pos"), F.lit(None).cast("int").alias("parent_stmt"), F.lit(None).cast("string").alias("callee"))).alias("stmts"),
+        F.transform(F.slice(rows, 1, F.size(rows) - 1), lambda x, i: F.struct(x["stmt_no"].alias("src"), F.get(rows, i + 1)["stmt_no"].alias("dst"))).alias("nexts"),
+        F.transform(F.filter(rows, lambda x: x["kind"] != "read"), lambda x: F.struct(x["stmt_no"].alias("stmt_no"), x["used"].alias("var"))).alias("uses"),
+        F.transform(F.filter(rows, lambda x: x["kind"] != "print"), lambda x: F.struct(x["stmt_no"].alias("stmt_no"), x["target"].alias("var"))).alias("modifies"),
+    )
     return FactTables(
         program=program,
         proc=program.select(P, F.col(P).alias("proc_name"), F.lit(0).alias("proc_idx")),
         stmt=stmt,
-        direct_uses=e.where("kind != 'read'").select(P, "stmt_no", F.coalesce(shown, "source").alias("var"), F.lit(False).alias("in_condition")),
+        direct_uses=e.where("kind != 'read'").select(P, "stmt_no", used.alias("var"), F.lit(False).alias("in_condition")),
         direct_modifies=e.where("kind != 'print'").select(P, "stmt_no", F.col("target").alias("var")),
-        assign_expr=e.where("kind = 'assign'").select(P, "stmt_no", F.col("target").alias("lhs"), F.col("source").alias("rhs_canon"), F.array("source").alias("rhs_subtrees")),
+        assign_expr=e.where("kind = 'assign'").select(P, "stmt_no", F.col("target").alias("lhs"), F.col("source").alias("rhs_key"), F.array("source").alias("rhs_subtrees")),
         const=program.where(F.lit(False)).select(P, F.lit("").alias("value")),
-        cfg_next=e.where("then is not null").select(P, F.col("stmt_no").alias("src"), F.col("then").alias("dst")),
+        cfg_next=placed.where("then is not null").select(P, F.col("stmt_no").alias("src"), F.col("then").alias("dst")),
+        packed=packed,
+        flat=True,
     )
 
 
+def order_programs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """(program_id, text): a program for the orders of each customer and priority, for the front end to parse.
+
+    `main` reads a budget, calls a procedure for each order, o1, o2, .. by order key, in a loop, and prints;
+    an order's procedure assigns once for each of its items, in a branch, and calls `log`. Orders without
+    items aren't called.
+    """
+    item = F.struct("l_linenumber", F.concat(F.lit("v"), F.col("l_suppkey") % 4).alias("to"), F.concat(F.lit("v"), F.col("l_partkey") % 4).alias("by"))
+    items = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    line = lambda x: F.format_string("%s = (%s + %d) * rate;", x["to"], x["by"], x["l_linenumber"])
+    items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.transform("items", line), " ").alias("items"))
+    status = F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1
+    rows = orders.select("o_orderkey", F.concat_ws("-", "o_custkey", F.substring("o_orderpriority", 1, 1)).alias(P), status.alias("status")).join(items, "o_orderkey")
+    rows = rows.groupBy(P).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "status", "items"))).alias("orders"))
+    calls = F.array_join(F.transform("orders", lambda x, i: F.format_string("call o%d;", i + 1)), " ")
+    one = lambda x, i: F.format_string("procedure o%d { if (status == %d) then { %s } else { budget = budget - 1; } call log; }", i + 1, x["status"], x["items"])
+    text = F.concat(F.lit("procedure main { read budget; while (budget > 0) { "), calls, F.lit(" } print spent; }\n"), F.array_join(F.transform("orders", one), "\n"), F.lit("\nprocedure log { spent = spent + v0; print spent; }"))
+    return rows.select(P, text.alias("text"))
+
+
 def containment(region: DataFrame, nation: DataFrame, customer: DataFrame, orders: DataFrame) -> DataFrame:
     """(program_id, l, r): region over nation over customer over order, as one acyclic graph."""
     named = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from codeloom.operators.flow import Program, reach
+from codeloom.operators.flow import KERNELS, Program, adjacent, reach
 from codeloom.plans.pql import QuerySyntaxError, parse_query
 from codeloom.sources.printing import printed, program_text
 from codeloom.sources.simple import ProgramError, parse_expression, parse_program
@@ -58,15 +58,21 @@ def test_synonyms_named_like_keywords():
     assert not q.invalid and not q.boolean and len(q.clauses) == 2
 
 
-def test_nested_tail_calls():
-    from codeloom.queries import NESTED
+def program(text: str) -> Program:
+    f = parse_program(text)
+    return Program([(s[0], s[1], s[2], s[3], s[4], s[5], s[8]) for s in f.stmts], f.nexts, [u[:2] for u in f.uses], f.modifies)
+
+
+def pairs(runs) -> set[tuple]:
+    return {(x, y) for x, ys in runs for y in ys}
 
-    f = parse_program(NESTED)
-    p = Program([(s[0], s[1], s[2], s[3], s[4], s[5], s[8]) for s in f.stmts], f.nexts, [u[:2] for u in f.uses], f.modifies)
-    pairs = p.next_bip()
-    assert (9, 2) in pairs and (9, 6) not in pairs and (3, 2) not in pairs
-    assert (9, 9) in p.affects_bip()
-    assert reach([(1, 2), (2, 1)]) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+def test_nested_tail_calls():
+    p = program("procedure a { if (k > 0) then { call b; } else { while (k > 1) { call c; } } call c; } procedure b { call c; } procedure c { k = k + 1; }")
+    found = pairs(p.next_bip())
+    assert (7, 5) in found and (7, 3) in found and (7, 2) not in found and (2, 5) not in found
+    assert (7, 7) in pairs(p.affects_bip())
+    assert pairs(reach(adjacent([(1, 2), (2, 1)]))) == {(1, 1), (1, 2), (2, 1), (2, 2)}
 
 
 _NAMES = st.sampled_from(["a", "b2", "if", "while", "read", "then"])
@@ -116,4 +122,4 @@ def test_layout():
 
 def test_printed(spark):
     d = spark.createDataFrame([("1", "procedure p{a=1;}"), ("2", "procedure"), ("3", None), ("4", "procedure p { a = " + "(" * 5000 + "1" + ")" * 5000 + "; }")], "program_id string, text string")
-    assert {r["program_id"]: r["listing"] for r in printed(d).collect()} == {"1": "procedure p{a = 1;}", "2": None, "3": "", "4": None}
+    assert {r["program_id"]: r["listing"] for r in printed(d).collect()} == {"1": "procedure p{a = 1;}", "2": None, "3": "", "4": "procedure p{a = 1;}"}
