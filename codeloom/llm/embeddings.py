@@ -1,18 +1,26 @@
-"""Embedding near-dedup: exact threshold pairs by cover trees and dual traversal.
+"""Embedding near-dedup: exact threshold pairs by a distributed cover tree and dual traversal.
 
 Vectors are compared within a label by cosine in double precision. Equal vectors collapse first, with their
-number. A bounded sample gives the upper tree levels: pivots. Every vector goes to its nearest pivot's cell;
-cells have covering radii, and large cells fall into chunks of bounded size. Pairs of cells whose balls
-lie further apart than the threshold's distance are pruned, and so are single rows outside the other
-cell's reach. Each remaining pair of chunks is one task's unit: both get a cover tree, of nested levels
-with halving radii, and a dual traversal that prunes node pairs by their covering-radius bounds, takes
-node pairs that are within the distance as a whole, and tests what is left exactly. Links are counted,
-not listed; a spanning forest of each unit joins the components.
+number. The tree's upper levels are built by passes over all vectors: a node with more than `chunk` vectors
+picks centres far apart among a sample of its own (bounded by `sample`), and each vector goes home to its
+nearest centre's child, until children are small, or so dense that all their pairs are within the distance.
+A vector also visits, as a guest, the other children that may hold a partner: those whose side of the bisecting
+planes comes within the distance of it, and whose ball, by its covering radius, does. So a leaf has all partners
+of its own vectors. Leaves are the tasks' units: home vectors and guests, block by block, get cover trees, of
+nested levels with halving radii, and a dual traversal that prunes node pairs by their covering-radius bounds,
+takes node pairs that are within the distance as a whole, and tests what is left exactly. Links are counted,
+not listed, each at the home of either end; a spanning forest of each unit joins the components.
+
+Cost: near the number of vectors where they lie in groups; vectors without any, in many dimensions, visit a
+share of all children, so that work grows with a power between one and two. A leaf that stays large though not
+dense (`deepest` levels down) is compared block against block.
 
 Defined results: a null label, a null or empty vector, one with null or non-finite components, and a zero
-vector link with nothing, nor do vectors of different lengths. Rows with a null id are left out of links
-and have themselves (null) as component. Repeated rows of one id are separate vectors with that id.
-An empty table gives an empty result. Only the id, vector and label columns are read.
+vector link with nothing, nor do vectors of different lengths. Vectors are scaled by powers of two, which is
+exact, so that very large and very small ones neither over- nor underflow. Rows with a null id are left out of
+links and have themselves (null) as component. Repeated rows of one id are separate vectors with that id. An
+empty table gives an empty result. Only the id, vector and label columns are read, so further columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from codeloom.llm.graph import connected_components
 LEAF = 24
 SLACK = 1e-9
 MARGIN = 1e-7
+#: Distances on the upper levels may err by less than this.
+LOOSE = 1e-6
 
 
 class Node:
@@ -155,7 +165,11 @@ def links(x: np.ndarray, y: np.ndarray | None, raw_x: np.ndarray, raw_y: np.ndar
             join(int(i[s]), int(j[t]))
 
     def exact(i, j):
-        add(i, j, (raw_x[i] @ raw_y[j].T) / (norm_x[i][:, None] * norm_y[j][None, :]) >= least)
+        cos = (raw_x[i] @ raw_y[j].T) / (norm_x[i][:, None] * norm_y[j][None, :])
+        ok = cos >= least
+        for p, q in zip(*np.nonzero(np.abs(cos - least) < 1e-12)):  # alike from either side, whatever the order of sums
+            ok[p, q] = cosine(raw_x[i[p]], raw_y[j[q]]) >= least
+        add(i, j, ok)
 
     def whole(i, j):
         for s in range(0, i.size, 1024):
@@ -169,148 +183,201 @@ def links(x: np.ndarray, y: np.ndarray | None, raw_x: np.ndarray, raw_y: np.ndar
     return nx, None if same else ny, forest
 
 
+def cosine(a: np.ndarray, b: np.ndarray) -> float:
+    return math.fsum(a * b) / math.sqrt(math.fsum(a * a) * math.fsum(b * b))
+
+
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component near 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=-1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v**2).sum(axis=-1, keepdims=True))
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """At most n of the points, each the furthest from those before."""
+    at, d = [0], np.sqrt(((x - x[0]) ** 2).sum(axis=1))
+    while len(at) < min(n, len(x)) and d.max() > 1e-6:
+        at.append(int(d.argmax()))
+        d = np.minimum(d, np.sqrt(((x - x[at[-1]]) ** 2).sum(axis=1)))
+    return x[at]
+
+
+def visits(x: np.ndarray, centres: np.ndarray, distance: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For unit vectors x: each one's nearest centre, which children may hold a partner, and all distances."""
+    square = np.maximum(0.0, 2 - 2 * x @ centres.T)
+    home = square.argmin(axis=1)
+    apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, 1.0)
+    # a partner in child c is nearer to c than to any centre j: beyond the plane between them
+    beyond = ((square[:, :, None] - square[:, None, :]) / (2 * apart)[None]).max(axis=2)
+    may = beyond <= distance + LOOSE
+    may[np.arange(len(x)), home] = True
+    return home, may, np.sqrt(square)
+
+
 def _valid(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """(id, label, v, fine) of every row; fine: the row can link."""
     v = F.col(vector).cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), v.alias("v"))
-    return rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return rows.withColumn("fine", F.coalesce(fine & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
 
 
-class Cells:
-    """Pivots by group (label and length), with their covering radii."""
+ROW = "node string, home boolean, sid long, mult long, v binary, dist double"
 
-    def __init__(self):
-        self.of: dict[str, np.ndarray] = {}
 
-    @staticmethod
-    def spread(x: np.ndarray, n: int) -> np.ndarray:
-        """n pivots, each the point furthest from those before: the upper levels' centres."""
-        at, d = [0], np.sqrt(((x - x[0]) ** 2).sum(axis=1))
-        while len(at) < min(n, len(x)) and d.max() > 1e-6:
-            at.append(int(d.argmax()))
-            d = np.minimum(d, np.sqrt(((x - x[at[-1]]) ** 2).sum(axis=1)))
-        return x[at]
+def _started(sets: DataFrame) -> DataFrame:
+    import pyarrow as pa
 
+    def run(batches):
+        for b in batches:
+            raw = [scaled(np.array(x)).tobytes() for x in b.column(3).to_pylist()]
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([True] * n), b.column(1), b.column(2), pa.array(raw, pa.binary()), pa.array([2.0] * n)], names=[x.split()[0] for x in ROW.split(", ")])
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", sample: int = 8192, chunk: int = 1024) -> DataFrame:
+    return sets.select(F.concat("grp", F.lit("/")), "sid", "mult", "v").mapInArrow(run, ROW)
+
+
+def _children(large: DataFrame, distance: float, fan: int, sample: int) -> DataFrame:
+    """The rows of large nodes as home rows and guests of their children. large: also homes, members."""
+    import pyarrow as pa
+
+    def pick(key, t):
+        t = t.sort_by("sid")
+        x = np.array([np.frombuffer(v) for v in t.column("v").to_pylist()])
+        return pa.table({"node": pa.array([key[0].as_py()]), "v": pa.array([spread(unit(x), fan).tobytes()], pa.binary()), "size": pa.array([x.shape[1]], pa.int64()), "members": pa.array([t.column("members")[0].as_py()], pa.int64())})
+
+    def run(batches):
+        at = centres = None
+        for b in batches:
+            node, part, row, home, sid, mult, v = (c.to_pylist() for c in b.columns)
+            start = 0
+            while start < b.num_rows:
+                if row[start] == 0:  # a node's centres come before its rows
+                    at, centres, start = (node[start], part[start]), np.frombuffer(v[start]).reshape(-1, sid[start]), start + 1
+                    continue
+                end = start
+                while end < min(b.num_rows, start + 2048) and row[end] and (node[end], part[end]) == at:
+                    end += 1
+                x = unit(np.array([np.frombuffer(t) for t in v[start:end]]))
+                near, may, dist = visits(x, centres, distance)
+                i, c = np.nonzero(may)
+                first = [f"{at[0]}{k:x}." for k in range(len(centres))]
+                take = pa.array(i + start)
+                yield pa.RecordBatch.from_arrays([pa.array([first[k] for k in c.tolist()], pa.string()), pa.array([home[start + p] and bool(near[p] == q) for p, q in zip(i.tolist(), c.tolist())], pa.bool_()), b.column(4).take(take), b.column(5).take(take), b.column(6).take(take), pa.array(dist[i, c])], names=[x.split()[0] for x in ROW.split(", ")])
+                start = end
+
+    draw = F.pmod(F.xxhash64("sid", "node"), F.lit(1 << 30)) / float(1 << 30)
+    some = large.where(F.col("home") & (draw * F.col("homes") < sample)).select("node", "sid", "v", "members")
+    centres = saved(some.groupBy("node").applyInArrow(pick, "node string, v binary, size long, members long"), "centres")
+    # a node of many rows is dealt in parts, each with the centres before its rows
+    parts = F.ceil(F.col("members") / 16_384).cast("int")
+    heads = centres.select("node", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("row"), F.lit(False).alias("home"), F.col("size").alias("sid"), F.lit(0).cast("long").alias("mult"), "v")
+    rows = large.join(centres.select("node"), "node", "left_semi")
+    rows = rows.select("node", F.pmod(F.xxhash64("sid"), parts).cast("int").alias("part"), F.lit(1).alias("row"), "home", "sid", "mult", "v")
+    dealt = heads.union(rows).repartition(shuffle_partitions(large.sparkSession), "node", "part").sortWithinPartitions("node", "part", "row", "sid")
+    return dealt.mapInArrow(run, ROW)
+
+
+def leaves(rows: DataFrame, distance: float, chunk: int, fan: int = 16, sample: int = 256, deepest: int = 10) -> DataFrame:
+    """(node, home, sid, mult, v, dist, homes, radius, dense): the rows of the tree's leaves, guests with them."""
+    found, todo = None, saved(rows, "level")
+    for depth in range(deepest + 1):
+        size = todo.groupBy("node").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("members"), F.max(F.when(F.col("home"), F.col("dist"))).alias("radius"))
+        size = saved(size.where("homes > 0").withColumn("dense", (F.col("homes") > chunk) & (2 * F.col("radius") < distance - 2 * LOOSE)), "sizes")
+        here = todo.join(size, "node").where(F.col("home") | (F.col("dist") <= F.col("radius") + distance + LOOSE))
+        large = (F.col("homes") > chunk) & ~F.col("dense") & F.lit(depth < deepest)
+        done = saved(here.where(~large).drop("members"), "leaves")
+        found = done if found is None else found.union(done)
+        if size.where(large).isEmpty():
+            break
+        # a sample can miss a node: it then stays a leaf, compared block against block
+        whole = saved(here.where(large), "large")
+        todo = saved(_children(whole, distance, fan, sample), "level")
+        missed = whole.join(todo.select(F.regexp_replace("node", "[0-9a-f]+\\.$", "").alias("node")).distinct(), "node", "left_anti")
+        found = found.union(saved(missed.drop("members"), "missed"))
+    return found
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", chunk: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     import pyarrow as pa
 
-    spark = vectors.sparkSession
-    valid = _valid(vectors, key, vector, label).withColumn("grp", F.concat_ws(":", F.size("v").cast("string"), "label"))
+    spark, distance = vectors.sparkSession, math.sqrt(max(0.0, 2 - 2 * least))
+    every = _valid(vectors, key, vector, label)
+    valid = every.where("fine").withColumn("grp", F.concat_ws(":", F.size("v").cast("string"), "label"))
     valid = saved(valid.withColumn("fp", F.sha2(F.concat_ws(",", "grp", F.concat_ws(",", F.col("v").cast("array<string>"))), 256)), "vectors")
-    sets = saved(valid.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("grp").alias("grp"), F.first("v").alias("v")), "distinct")
-    n = sets.count()
-    by_group = {r["grp"]: r["n"] for r in sets.groupBy("grp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grp").limit(1024).collect()}  # the largest groups; others are one cell each
-    cells = Cells()
-    draw = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / float(1 << 30)
-    picked: dict[str, list] = {}
-    for r in sets.where(draw < min(1.0, sample / max(1, n))).select("grp", "v").collect():  # bounded by `sample`
-        if r["grp"] in by_group:
-            picked.setdefault(r["grp"], []).append(r["v"])
-    for g, rows in sorted(picked.items()):
-        cells.of[g] = Cells.spread(unit(np.array(sorted(rows))), min(64, max(1, by_group[g] // (4 * chunk))))
-    held = spark.sparkContext.broadcast(cells.of)  # at most `sample` vectors
-
-    def home(batches):
-        for b in batches:
-            grp, v = b.column(2).to_pylist(), b.column(3).to_pylist()
-            cell, dist = [], []
-            for g, x in zip(grp, v):
-                p = held.value.get(g)
-                if p is None:
-                    cell.append(0)
-                    dist.append(2.0)
-                else:
-                    d = np.sqrt(((p - unit(np.array(x))) ** 2).sum(axis=1))
-                    cell.append(int(d.argmin()))
-                    dist.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([np.array(x).tobytes() for x in v], pa.binary()), pa.array(cell, pa.int32()), pa.array(dist, pa.float64())], names=["rep", "mult", "grp", "v", "cell", "dist"])
-
-    homed = saved(sets.select("rep", "mult", "grp", "v").mapInArrow(home, "rep long, mult long, grp string, v binary, cell int, dist double"), "homed")
-    balls = saved(homed.groupBy("grp", "cell").agg(F.max("dist").alias("radius"), F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "balls")
-    known = {(r["grp"], r["cell"]): (r["radius"], r["chunks"]) for r in balls.where(F.col("grp").isin(sorted(cells.of))).collect()} if cells.of else {}
-    distance = math.sqrt(max(0.0, 2 - 2 * least))
-    partners: dict[tuple[str, int], list[tuple[int, int, bool]]] = {}
-    for g, p in cells.of.items():
-        mine = [c for c in range(len(p)) if (g, c) in known]
-        for c in mine:
-            for o in mine:
-                if np.sqrt(((p[c] - p[o]) ** 2).sum()) <= known[g, c][0] + known[g, o][0] + distance + SLACK:
-                    partners.setdefault((g, c), []).append((o, known[g, o][1]))
-    near = spark.sparkContext.broadcast((partners, {k: v[0] for k, v in known.items()}))  # at most 64 x 64 cells a group
-
-    def units(batches):
-        """A row for each unit of work that needs the vector."""
-        pairs, radii = near.value
-        for b in batches:
-            out: list[tuple] = []
-            rep, grp, v, cell, chunks = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()
-            for i, (r, g, x, c, k) in enumerate(zip(rep, grp, v, cell, chunks)):
-                mine = (c, (r * 0x9E3779B97F4A7C15 % 2**64 >> 40) % k)
-                for o, n in pairs.get((g, c), [(c, k)]):
-                    if o != c:
-                        p = held.value[g]
-                        if np.sqrt(((unit(np.frombuffer(x)) - p[o]) ** 2).sum()) > radii[g, o] + distance + SLACK:
-                            continue
-                    for j in range(n):
-                        lo, hi = sorted((mine, (o, j)))
-                        out.append((i, f"{lo[0]}.{lo[1]}-{hi[0]}.{hi[1]}", int(mine == hi and lo != hi)))
-            take = pa.array([t[0] for t in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(2).take(take), pa.array([t[1] for t in out], pa.string()), pa.array([t[2] for t in out], pa.int32()), b.column(0).take(take), b.column(1).take(take), b.column(3).take(take)], names=["grp", "unit", "side", "rep", "mult", "v"])
-
-    rows = homed.join(balls.select("grp", "cell", "chunks"), ["grp", "cell"]).select("rep", "mult", "grp", "v", "cell", "chunks")
-    rows = rows.mapInArrow(units, "grp string, unit string, side int, rep long, mult long, v binary")
-    dealt = rows.repartition(shuffle_partitions(spark), "grp", "unit").sortWithinPartitions("grp", "unit", "side", "rep")
+    # a set's id is its own, no member's: two vectors may have one id
+    sets = saved(valid.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("grp").alias("grp"), F.first("v").alias("v")).withColumn("sid", F.monotonically_increasing_id()), "distinct")
+    tree = leaves(_started(sets), distance, chunk)
+
+    # dense leaves: all home rows link with each other, and with the guests that are near enough for certain
+    sure = F.col("home") | (F.col("dist") + F.col("radius") < distance - 2 * LOOSE)
+    dense = tree.where("dense")
+    total = saved(dense.where(sure).groupBy("node").agg(F.sum("mult").alias("total"), F.min(F.when(F.col("home"), F.col("sid"))).alias("anchor")), "dense")
+    easy = dense.where(sure).join(total, "node").select(F.col("sid").alias("a"), F.col("anchor").alias("b"), F.when(F.col("home"), F.col("total") - F.col("mult")).otherwise(F.lit(0)).cast("long").alias("n"))
+
+    # units: each block of a leaf's home rows, with all other rows of the leaf as guests
+    blocks = F.ceil(F.col("homes") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("sid", "node"), blocks).cast("int")
+    rows = tree.where(~F.col("dense") | F.col("home") | ~sure).withColumn("block", F.explode(F.when(F.col("home") & F.col("dense"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    rows = rows.select("node", "block", (~(F.col("home") & (own == F.col("block")))).cast("int").alias("side"), "sid", "mult", "v", "dense")
+    dealt = rows.repartition(shuffle_partitions(spark), "node", "block").sortWithinPartitions("node", "block", "side", "sid")
 
     def work(batches):
-        at, held_rows = None, ([], [])
+        """Homes and, piece by piece, guests of a unit; it holds two blocks of vectors."""
+        at, home, guests = None, [], []
 
-        def out():
-            one, two = held_rows
-            if not one or at is None or (not two and at[1].split("-")[0] != at[1].split("-")[1]):
+        def against(y) -> pa.RecordBatch | None:
+            """Links of the home rows with each other (y None) or with guests."""
+            if not home or (y is not None and not y):
                 return None
-            x = np.array([np.frombuffer(r[2]) for r in one])
-            wx = np.array([r[1] for r in one], np.int64)
-            if two:
-                y, wy = np.array([np.frombuffer(r[2]) for r in two]), np.array([r[1] for r in two], np.int64)
-                nx, ny, forest = links(unit(x), unit(y), x, y, wx, wy, least)
-                reps, counts = [r[0] for r in one + two], np.concatenate((nx, ny))
+            raw, w = np.array([np.frombuffer(r[2]) for r in home]), np.array([r[1] for r in home], np.int64)
+            if y is None:
+                counts, _, forest = links(unit(raw), None, raw, None, w, None, least)
+                sids = [r[0] for r in home]
             else:
-                counts, _, forest = links(unit(x), None, x, None, wx, None, least)
-                reps = [r[0] for r in one]
+                raw_y = np.array([np.frombuffer(r[2]) for r in y])
+                counts, _, forest = links(unit(raw), unit(raw_y), raw, raw_y, w, np.array([r[1] for r in y], np.int64), least)
+                sids = [r[0] for r in home + y]
             some = np.flatnonzero(counts)
-            a = [reps[i] for i in some] + [reps[i] for i, _ in forest]
-            b = [None] * some.size + [reps[j] for _, j in forest]
+            a = [sids[i] for i in some] + [sids[i] for i, _ in forest]
+            b = [None] * some.size + [sids[j] for _, j in forest]
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*counts[some].tolist(), *[0] * len(forest)], pa.int64())], names=["a", "b", "n"])
 
+        def own_links():
+            return None if dense_unit else against(None)
+
+        met = dense_unit = True
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for g, u, side, rep, mult, v in zip(*cols):
-                if (g, u) != at:
-                    if (got := out()) is not None:
-                        yield got
-                    at, held_rows = (g, u), ([], [])
-                held_rows[side].append((rep, mult, v))
-        if (got := out()) is not None:
-            yield got
-
-    found = saved(dealt.mapInArrow(work, "a long, b long, n long"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    classes = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
-    per_set = sets.select("fp", "rep", "mult").join(counts, "rep", "left").join(classes, "rep", "left")
-    per_set = saved(per_set.select("fp", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "sets")
-    linked = valid.select("id", "fp").join(per_set, "fp").select("id", "n_links", "component_id")
-    rest = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("v"))
-    v = F.col("v")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rest = rest.where(~F.coalesce(fine & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False)))
-    every = linked.union(rest.select("id", F.lit(0).cast("long"), F.col("id")))
-    return every.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+            for node, block, side, sid, mult, v, is_dense in zip(*(c.to_pylist() for c in batch.columns)):
+                if (node, block) != at:
+                    yield from filter(None, (own_links() if not met else None, against(guests)))
+                    at, home, guests, met, dense_unit = (node, block), [], [], False, is_dense
+                if side == 0:
+                    home.append((sid, mult, v))
+                    continue
+                if not met:  # all home rows are here
+                    met = True
+                    yield from filter(None, (own_links(),))
+                guests.append((sid, mult, v))
+                if len(guests) >= 2 * chunk:
+                    yield from filter(None, (against(guests),))
+                    guests = []
+        yield from filter(None, (own_links() if not met else None, against(guests)))
+
+    found = saved(dealt.mapInArrow(work, "a long, b long, n long").union(easy), "found")
+    counts = found.where("n > 0").groupBy(F.col("a").alias("sid")).agg(F.sum("n").alias("n"))
+    classes = connected_components(found.where("b is not null and a != b").select("a", "b")).withColumnRenamed("id", "sid")
+    per_set = sets.select("fp", "sid", "rep", "mult").join(counts, "sid", "left").join(classes, "sid", "left")
+    per_set = saved(per_set.select("fp", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "sid").alias("component"), "rep"), "sets")
+    least_id = per_set.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = valid.select("id", "fp").join(per_set.join(least_id, "component").select("fp", "n_links", "component_id"), "fp").select("id", "n_links", "component_id")
+    out = linked.union(every.where("not fine").select("id", F.lit(0).cast("long"), F.col("id")))
+    return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op3_embedding_near_dedup(spark, sf_dir):
