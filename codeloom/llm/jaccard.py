@@ -20,7 +20,9 @@ least mixed id, so that the many like lists of a group of copies fall into few g
 group are then verified on the whole texts, block against block, and leave a spanning forest: no pair is
 left out and none becomes a row. Frequent classes only steer cost: whatever they hold, the result is exact.
 
-Memory: postings travel in packed arrays by hash bucket; verification holds two blocks of sets.
+Memory: postings travel in packed arrays by hash bucket, whose number follows the number of tokens, and are
+worked on bucket by bucket; verification holds two blocks of sets. A group of g different texts costs
+(g / block)^2 / 2 units, and each of its texts travels g / block times.
 
 Defined results: a null text counts as empty; a text without words has an empty set and links with
 nothing; a text of fewer than five words has its whole word sequence as its one shingle; repeated rows of
@@ -210,19 +212,16 @@ def postings(docs: DataFrame, key: str, text: str, frequent: np.ndarray, percent
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "bucket int, sigs binary, ids binary, sizes binary")
 
 
-def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
+def candidates(packed: DataFrame, percent: int, short: int = 8, most: int = 4_000_000) -> DataFrame:
     """Rows (kind, a, b, n). 0: sets a and b share n signatures of short lists; 1: b is in a long list led
     by a; 2: a has n signatures in long lists; 3: n of the rare tokens of a are in no other set's prefix;
     4: a has n signatures in short lists of two or more."""
     import pyarrow as pa
 
-    dealt = packed.repartition(shuffle_partitions(packed.sparkSession), "bucket")
+    dealt = packed.repartition(shuffle_partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        parts: dict[int, list] = {}
-        for b in batches:
-            for k, s, d, z in zip(*(c.to_pylist() for c in b.columns)):
-                parts.setdefault(k, []).append((np.frombuffer(s, U), np.frombuffer(d, np.int64), np.frombuffer(z, np.int32)))
+        """Bucket by bucket: what is held is one bucket's postings and, up to `most`, rows that may still add up."""
         kinds: list[list[np.ndarray]] = [[], [], [], [], []]
 
         def summed(rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -238,9 +237,8 @@ def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
         def rows(a, b):
             return np.column_stack((a, b, np.ones(a.size, np.int64)))
 
-        for k in sorted(parts):
-            s, d, z = (np.concatenate([p[i] for p in parts[k]]) for i in range(3))
-            parts[k] = []
+        def bucket(parts: list) -> None:
+            s, d, z = (np.concatenate([p[i] for p in parts]) for i in range(3))
             order = np.lexsort((mix(d.view(U)), s))  # a list's leader: the least mixed id
             s, d, z = s[order], d[order], z[order]
             fresh = np.ones(s.size, bool)
@@ -263,10 +261,27 @@ def candidates(packed: DataFrame, percent: int, short: int = 8) -> DataFrame:
             many = np.flatnonzero((count > short)[lists])
             kinds[1].append(rows(d[cuts[lists[many]]], d[many]))
             kinds[2].append(rows(d[many], np.zeros_like(d[many])))
-            kinds = [summed(x) for x in kinds]
-        for kind, x in enumerate(kinds):
-            for y in x:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), *(pa.array(np.ascontiguousarray(y[:, c])) for c in range(3))], names=["kind", "a", "b", "n"])
+            kinds[:] = [summed(x) for x in kinds]
+
+        def out():
+            for kind, x in enumerate(kinds):
+                for y in x:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), kind, np.int32)), *(pa.array(np.ascontiguousarray(y[:, c])) for c in range(3))], names=["kind", "a", "b", "n"])
+            kinds[:] = [[], [], [], [], []]
+
+        at, held = None, []
+        for b in batches:
+            for k, s, d, z in zip(*(c.to_pylist() for c in b.columns)):
+                if k != at:
+                    if held:
+                        bucket(held)
+                    if sum(len(y) for x in kinds for y in x) > most:
+                        yield from out()
+                    at, held = k, []
+                held.append((np.frombuffer(s, U), np.frombuffer(d, np.int64), np.frombuffer(z, np.int32)))
+        if held:
+            bucket(held)
+        yield from out()
 
     rows = dealt.mapInArrow(run, "kind int, a long, b long, n long")
     return saved(rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "candidates")
@@ -282,7 +297,7 @@ def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.
     at, who = (np.cumsum(shared) - 1)[at[keep]], who[keep]
     order = np.argsort(at, kind="stable")
     at, who = at[order], who[order]
-    common, step = np.zeros((len(sets), len(sets)), np.float32), 2048
+    common, step = np.zeros((len(sets), len(sets))), 2048  # a step's counts fit 32-bit floats, their sums need 64
     for lo in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(at, (lo, lo + step))
         m = np.zeros((len(sets), step), np.float32)
@@ -370,7 +385,8 @@ def similar_classes(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     sets, counts = document_sets(docs, key, text)
     frequent = frequent_class(counts)
     firsts = saved(sets.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
-    found = candidates(postings(docs, key, text, frequent, percent), percent)
+    tokens = firsts.agg(F.sum("n")).first()[0] or 0  # a bucket has about a million signatures, of a quarter of the tokens
+    found = candidates(postings(docs, key, text, frequent, percent, max(512, tokens // 4_000_000)), percent)
     ids = firsts.select(F.conv(F.substring(F.hex("fp"), 1, 16), 16, -10).cast("long").alias("id"), "rep", "n")
     for kind, name in ((2, "long"), (3, "alone"), (4, "short")):
         ids = ids.join(found.where(f"kind = {kind}").select(F.col("a").alias("id"), F.col("n").alias(name)), "id", "left")
