@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,11 +43,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables of this session that are still there, in the order of their making.
+_made: list[str] = []
+
+
+def clear(spark: SparkSession, since: int = 0, but: int = 0) -> None:
+    """Removes the tables that saved() made, but for the first `since` and the last `but` of them.
+
+    Results read such tables when they are computed: call it once they are written."""
+    for p in _made[since : len(_made) - but]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(p)
+
+
+@contextmanager
+def scratch(spark: SparkSession, own: int = 0) -> Iterator[None]:
+    """Of the tables that are made inside, and the last `own` made before, the last alone stays."""
+    since = len(_made) - own
+    yield
+    clear(spark, since, 1)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     workers_find_us(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
