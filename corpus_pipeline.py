@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import saved, table
+from codeloom.llm.common import saved, scratch, table
 from codeloom.llm.jaccard import similar_classes
 from codeloom.llm.lines import line_dedup
 from codeloom.llm.mixing import draws
@@ -78,6 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        with scratch(spark, own=min(k, 1)):  # a stage's own tables go after it, and what it has read
+            docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
