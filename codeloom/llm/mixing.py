@@ -12,9 +12,12 @@ block's documents in order.
 
 DataFrame and SQL functions only. What meets in one row are the totals by source, one number each.
 
-Defined results: a null source is a source of its own; documents without words weigh nothing and aren't
-drawn; repeated rows are drawn as often as they are there; nulls in the id are drawn like any other value;
-an empty table gives an empty result. With the target out of reach alpha is 0 or 1.
+Defined results: a null source counts as the empty one, '', as in the SQL; null and empty texts and others
+without words weigh nothing and aren't drawn; repeated rows are drawn as often as they are there; nulls in the
+id are drawn like any other value, all at one place in the order; documents of one id are in the order of
+their tokens, then of the carried columns; a very long document counts whole, and what is longer than the room
+left ends its source; an empty table gives an empty result. With the target out of reach alpha is 0 or 1.
+Only the named columns are read, so others, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ seen makes its scores probabilities.
 
 Defined results: a null text counts as empty; an empty text has an all-zero pool, which the network
 scores like any other. Where one label alone was given, every score is that label's smoothed share;
-without labels 0.5. Repeated rows get equal scores; an empty table gives an empty result.
+without labels 0.5. Repeated rows get equal scores, rows with a null id like any others; very long texts are
+pooled whole, piece by piece, at eight bytes a word; equal logits at the threshold are accepted; an empty
+table gives an empty result. Only the key and text columns are read, so further columns, whatever their
+names, don't matter; `accepted` passes all columns on.
 """
 
 from __future__ import annotations
