@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet in the
 shared folder and reads it again as the next stage's docs. All stages but the last return the columns of
-documents.
+documents, further ones among them, whatever their names. An empty table gives an empty result in every stage;
+very long texts go through whole.
 """
 
 from __future__ import annotations
@@ -30,12 +31,15 @@ def _one_each(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text the classifier accepts, whatever their id, null too; repeated rows stay at their number."""
+    """Rows whose own text the classifier accepts, whatever their id, null too; repeated rows stay at their number.
+
+    A null text is judged as the empty one; a score at the threshold is accepted. Without labels all rows stay."""
     return accepted(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go; documents of which nothing is left go with them. Rows with a null id stay as they are."""
+    """Later copies of line runs go; documents of which nothing is left go with them. Rows with a null id stay as
+    they are, and so do null and empty texts; repeated rows are treated alike, neither as a copy of the other."""
     out = line_dedup(docs)
     left = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0
     out = out.where((F.col("n_deleted") == 0) | left)
@@ -47,7 +51,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of similar ones: that with the smallest id.
 
     Rows that agree in id and text are one document, of which the least row stays; rows of one id with other
-    texts are documents of their own. Rows with a null id have no class and all stay.
+    texts are documents of their own. Rows with a null id have no class and all stay, and so does each row
+    with a null or empty text, once for an id.
     """
     named = docs.where("doc_id is not null")
     one = saved(_one_each(named, "doc_id", "text").select("__row.*"), "documents").withColumn("__key", F.xxhash64("doc_id", "text"))
@@ -67,7 +72,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place in it."""
+    """Pieces of documents with their sequence and place in it: null texts as empty ones, repeated rows and rows
+    with a null id each for themselves, very long texts cut."""
     return pack(saved(pieces(docs), "pieces"))
 
 
