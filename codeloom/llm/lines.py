@@ -113,27 +113,25 @@ def doubled(lines: DataFrame) -> dict[int, DataFrame]:
 def longest_copies(levels: dict[int, DataFrame]) -> DataFrame:
     """(doc, of, at, words, lines, first): of each suffix that has an earlier copy the length of the longest."""
     self_ = F.struct(*AT)
-    member = [*AT, "words", "a", "b", "d"]
-    done, pool = None, None
+    member, pool = [*AT, "words", "a", "b", "d", "first"], None
     for h in sorted(levels, reverse=True):
-        rows = levels[h].select(*AT, "words", F.col("rank").alias("a"), F.lit(h).cast("long").alias("b"), F.lit(h).alias("d"))
+        rows = levels[h].select(*AT, "words", F.col("rank").alias("a"), F.lit(h).cast("long").alias("b"), F.lit(h).alias("d"), "first")
         if 2 * h in levels:  # of what shares 2h lines too the first alone stands for the others
             deeper = levels[2 * h].select(*AT, F.col("first").alias("deep"))
             rows = rows.join(deeper, AT, "left").where(F.col("deep").isNull() | (F.col("deep") == self_)).select(*member)
+        pool = rows if pool is None else pool.union(rows)
         s = h // 2
         if not s:
-            done = rows if pool is None else pool.union(rows)
             break
-        pool = rows if pool is None else pool.union(rows)
         ranks = levels[s].select("doc", "of", F.col("at").alias("there"), F.col("rank").alias("next"))
         pool = saved(pool.withColumn("there", F.col("at") + F.col("d")).join(ranks, ["doc", "of", "there"], "left").select(*member, "next"), "split")
-        parts = pool.where("next is not null").groupBy("a", "b", "next").agg(F.count("*").alias("n"), F.min(self_).alias("first")).where("n > 1").drop("n")
+        parts = pool.where("next is not null").groupBy("a", "b", "next").agg(F.count("*").alias("n"), F.min(self_).alias("top")).where("n > 1").drop("n")
         found = saved(pool.join(parts, ["a", "b", "next"], "left"), "parts")
         name = [F.xxhash64(F.lit(k), "a", "b", "next", F.lit(s)) for k in (2, 3)]
-        deeper = found.where("first is not null").select(*AT, "words", name[0].alias("a"), name[1].alias("b"), (F.col("d") + s).alias("d"))
-        pool = deeper.union(found.where(F.col("first").isNull() | (F.col("first") == self_)).select(*member))
-    first = done.groupBy("a", "b", "d").agg(F.count("*").alias("n"), F.min(self_).alias("first")).where("n > 1").drop("n")
-    return done.join(first, ["a", "b", "d"]).where(self_ > F.col("first")).select(*AT, "words", F.col("d").alias("lines"), "first")
+        deeper = found.where("top is not null").select(*AT, "words", name[0].alias("a"), name[1].alias("b"), (F.col("d") + s).alias("d"), F.col("top").alias("first"))
+        pool = deeper.union(found.where(F.col("top").isNull() | (F.col("top") == self_)).select(*member))
+    # the first of an interval is the first of one of its parts, or of none, and so has stood for itself all along
+    return pool.where(self_ > F.col("first")).select(*AT, "words", F.col("d").alias("lines"), "first")
 
 
 def repeated_runs(lines: DataFrame, min_lines: int = 4, min_words: int = 50) -> DataFrame:
