@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm import lines
@@ -55,29 +56,32 @@ def frame(spark, docs):
     return spark.createDataFrame([(d, "\n\n".join(x) if d % 3 else "\n".join(x)) for d, x in docs.items()], COLUMNS)
 
 
-def test_copies_runs_and_deletions(spark):
-    for seed in (1,):
-        docs = some_docs(np.random.default_rng(seed))
-        seq = lines.line_sequence(frame(spark, docs)).cache()
-        want = plain_copies(docs)
-        levels = lines.doubled(seq)
-        got = {(r["doc"], r["at"]): r["lines"] for r in lines.longest_copies(levels).collect()}
-        assert got == want and max(levels) <= max(want.values()) < 2 * max(levels)
-        for r in lines.longest_copies(levels).collect():
-            f, n = r["first"], r["lines"]
-            assert docs[f["doc"]][f["at"] : f["at"] + n] == docs[r["doc"]][r["at"] : r["at"] + n] and (f["doc"], f["at"]) < (r["doc"], r["at"])
-        for min_lines, min_words in ((4, 50), (6, 20)):
-            gone = plain_deleted(docs, min_lines, min_words)
-            for r in lines.line_dedup(frame(spark, docs), min_lines, min_words).collect():
-                left = [x for i, x in enumerate(docs[r["doc_id"]]) if i not in gone[r["doc_id"]]]
-                assert [x for x in r["text"].split("\n") if x.strip()] == left and r["n_deleted"] == len(gone[r["doc_id"]])
-            runs = lines.repeated_runs(lines.line_sequence(frame(spark, docs), ahead=min_lines - 1), min_lines, min_words).collect()
-            covered, ends = collections.defaultdict(list), {}
-            for r in sorted(runs, key=lambda r: (r["doc"], r["at"])):
-                assert r["at"] + r["lines"] > ends.get(r["doc"], 0) and want[r["doc"], r["at"]] == r["lines"]
-                ends[r["doc"]] = r["at"] + r["lines"]
-                covered[r["doc"]] += range(r["new"], r["at"] + r["lines"])
-            assert {d: x for d, x in covered.items() if x} == {d: sorted(x) for d, x in gone.items() if x}
+def test_copies_and_runs(spark):
+    docs = some_docs(np.random.default_rng(1))
+    seq = lines.line_sequence(frame(spark, docs)).cache()
+    want = plain_copies(docs)
+    levels = lines.doubled(seq)
+    found = lines.longest_copies(levels).collect()
+    assert {(r["doc"], r["at"]): r["lines"] for r in found} == want and max(levels) <= max(want.values()) < 2 * max(levels)
+    for r in found:
+        f, n = r["first"], r["lines"]
+        assert docs[f["doc"]][f["at"] : f["at"] + n] == docs[r["doc"]][r["at"] : r["at"] + n] and (f["doc"], f["at"]) < (r["doc"], r["at"])
+    covered, ends = collections.defaultdict(list), {}
+    for r in sorted(lines.repeated_runs(seq).collect(), key=lambda r: (r["doc"], r["at"])):
+        assert r["at"] + r["lines"] > ends.get(r["doc"], 0) and want[r["doc"], r["at"]] == r["lines"]
+        ends[r["doc"]] = r["at"] + r["lines"]
+        covered[r["doc"]] += range(r["new"], r["at"] + r["lines"])
+    gone = plain_deleted(docs, 4, 50)
+    assert {d: x for d, x in covered.items() if x} == {d: sorted(x) for d, x in gone.items() if x}
+
+
+@pytest.mark.parametrize(("min_lines", "min_words"), [(4, 50), (6, 20)])
+def test_deletions(spark, min_lines, min_words):
+    docs = some_docs(np.random.default_rng(2))
+    gone = plain_deleted(docs, min_lines, min_words)
+    for r in lines.line_dedup(frame(spark, docs), min_lines, min_words).collect():
+        left = [x for i, x in enumerate(docs[r["doc_id"]]) if i not in gone[r["doc_id"]]]
+        assert [x for x in r["text"].split("\n") if x.strip()] == left and r["n_deleted"] == len(gone[r["doc_id"]])
 
 
 def test_ranks_are_the_order_of_suffixes(spark):
