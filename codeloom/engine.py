@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.relations import LocalRelations, P, Relations
+from codeloom.operators.relations import LocalRelations, P, Relations, distances
 from codeloom.plans.planner import Planner
 from codeloom.plans.pql import QuerySyntaxError, listing, parse_query
 from codeloom.sources.facts import FactTables, fact_tables, local_facts, parsed, read_programs
@@ -86,5 +86,9 @@ class Engine:
         self._timed("run", began)
         return out
 
+    def distances(self) -> DataFrame:
+        """(program_id, l, r, steps): the fewest steps of Next from one statement to another."""
+        return distances(self.facts)
+
     def release(self) -> None:
         self.relations.release()

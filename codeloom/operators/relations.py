@@ -174,6 +174,22 @@ class Relations:
         return one.where(F.size("stmts") <= BLOCK).mapInArrow(run, schema).union(large.repartition(P, "part").mapInArrow(run, schema))
 
 
+def distances(facts: FactTables) -> DataFrame:
+    """(program_id, l, r, steps): the fewest steps of control flow from l to r."""
+    import pyarrow as pa
+
+    workers_find_us(facts.packed.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                i, *lists = (c[0].as_py() for c in b.slice(k, 1).columns)
+                for n, found in Program(*([tuple(x.values()) for x in items or []] for items in lists)).distances():
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), *(pa.array([f[c] for f in found], pa.int32()) for c in (0, 1))], names=[P, "l", "r", "steps"])
+
+    return facts.packed.select(P, *PACKED).mapInArrow(run, f"{P} string, l int, r int, steps int")
+
+
 class LocalRelations(Relations):
     """Relations of one program of at most `most` statements, found here and held as local tables, whose sizes
     the planner knows: queries then need no shuffle to join them. Larger programs take the way of a corpus."""

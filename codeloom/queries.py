@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codeloom.engine import Engine
 from codeloom.operators.fixpoint import closure
+from codeloom.plans.pql import listing, parse_query
 from codeloom.sources.printing import printed
 from codeloom.sources.tables import containment, event_programs, order_programs, trade
 
@@ -60,6 +61,8 @@ CASES: dict[str, tuple[str, str, str]] = {
     "error_semantic": (MAIN, "stmt s; Select BOOLEAN such that Follows(_, t)", "FALSE"),
     "error_syntax": (MAIN, "stmt s; Select BOOLEAN such that Follows(s", ""),
     "error_tuple": (MAIN, "stmt s; Select s such that Uses(_, s)", ""),
+    "error_attribute": (MAIN, 'stmt s; Select BOOLEAN with s.procName = "main"', "FALSE"),
+    "error_attribute_of_result": (MAIN, "stmt s; Select s.value", ""),
     "error_program": ("procedure p { call p; }", "stmt s; Select BOOLEAN", ""),
     "follows_pairs": (MAIN, "stmt a, b; Select <a, b> such that Follows(a, b)", "1-2 2-3 3-8 4-7 9-10"),
     "follows_t_pairs": (MAIN, "stmt a, b; Select <a, b> such that Follows*(a, b)", "1-2 1-3 1-8 2-3 2-8 3-8 4-7 9-10"),
@@ -340,7 +343,26 @@ def program_listing(spark, sf_dir):
     return printed(spark.createDataFrame([("program", MAIN)], "program_id string, text string"))
 
 
+def next_distances(spark, sf_dir):
+    """The fewest steps of control flow between statements."""
+    return Engine.load(spark, MAIN).distances().drop("program_id")
+
+
+def tuple_answers(spark, sf_dir):
+    """Answers as texts: a tuple's cells joined by a blank."""
+    return Engine.load(spark, MAIN).strings("while w; procedure p; call c; Select <w, p, c.procName>").select("answer")
+
+
+def query_listing(spark, sf_dir):
+    """A query's tree, printed."""
+    text = listing(parse_query('assign a; print q; Select <a, q.varName> such that Next*(_, 3) pattern a("x", _) with q.varName = "x"'))
+    return spark.createDataFrame([(text,)], "listing string")
+
+
 TABLE_SQL = {
+    "next_distances": "with recursive e(l, r) as (values " + ", ".join(f"({x.replace('-', ', ')})" for x in _NEXT.split()) + "), t as (select l, r, 1 as steps from e union select t.l, e.r, t.steps + 1 from t join e on t.r = e.l where t.steps < 20) select l, r, min(steps)::int as steps from t group by l, r",
+    "tuple_answers": "select '3 ' || p || ' sub' as answer from (values ('main'), ('sub')) t(p)",
+    "query_listing": "select 'declare assign a' || chr(10) || 'declare print q' || chr(10) || 'select a, q.varName' || chr(10) || 'relation next_t(_, 3)' || chr(10) || 'pattern assign(a, \"x\", _)' || chr(10) || 'with with(q.varName, \"x\")' as listing",
     "program_listing": "select 'program' as program_id, 'procedure main{read x;y = ((x * 2) + 1);while(x > 0){if(y == 1)then{call sub;}else{print y;}x = (x - 1);}print x;}procedure sub{y = (y + (x * 2));z = 10;}' as listing",
     "tables_calls_t": """
 with recursive e as (
@@ -352,6 +374,6 @@ with recursive e as (
   where c_nationkey != s_nationkey
 ), t as (select l, r from e union select t.l, e.r from t join e on t.r = e.l) select l, r from t""",
 }
-OWN = {f.__name__: f for f in (many_components, program_listing, tables_calls_t, tables_trade_closure_whole)}
+OWN = {f.__name__: f for f in (many_components, next_distances, tuple_answers, query_listing, program_listing, tables_calls_t, tables_trade_closure_whole)}
 QUERIES = {n: _case(n) for n in CASES} | {n: _event_case(n) for n in EVENT_CASES} | {n: _order_case(n) for n in ORDER_CASES} | OWN
 SQL = {n: _case_sql(n) for n in CASES} | {n: _EVENTS + q for n, (_, q) in EVENT_CASES.items()} | {n: _ORDERS + q for n, (_, q) in ORDER_CASES.items()} | TABLE_SQL | {"many_components": _COMPONENTS_SQL}
