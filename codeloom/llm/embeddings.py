@@ -2,7 +2,7 @@
 
 Vectors are compared within a label by cosine in double precision. Equal vectors collapse first, with their
 number. The tree's upper levels are built by passes over all vectors: a node with more than `chunk` vectors
-picks centres far apart among a sample of its own (bounded by `sample`), and each vector goes home to its
+picks up to `fan` centres far apart among a sample of its own (bounded by `sample`), and each vector goes home to its
 nearest centre's child, until children are small, or so dense that all their pairs are within the distance.
 A vector also visits, as a guest, the other children that may hold a partner: those whose side of the bisecting
 planes comes within the distance of it, and whose ball, by its covering radius, does. So a leaf has all partners
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import saved, shuffle_partitions, table
 from codeloom.llm.graph import connected_components
 
-LEAF = 24
+LEAF = 64
+#: A node whose children at half its radius would have fewer points than this on average stays whole.
+LEAST_CHILD = 8
 SLACK = 1e-9
 MARGIN = 1e-7
 #: Distances on the upper levels may err by less than this.
@@ -67,7 +69,7 @@ class CoverTree:
             reach, rows = node.radius / 2, self.order[node.lo : node.hi].copy()
             left, at = np.ones(len(rows), bool), node.lo
             centre_rows: list[int] = []
-            while left.any():
+            while left.any() and len(centre_rows) * LEAST_CHILD <= len(rows):
                 k = 0 if not centre_rows else int(np.flatnonzero(left)[0])
                 c = node.center if not centre_rows else self.x[rows[k]]  # nested: the parent's centre is its first child's
                 dist = d if not centre_rows else self.distances(int(rows[k]), rows[left])
@@ -85,6 +87,10 @@ class CoverTree:
                     todo.append((child, got))
                     at += n
                 left &= ~near
+            if left.any():  # too few lie together at this radius for levels to tell them apart
+                self.order[node.lo : node.hi] = rows
+                del todo[len(todo) - len(node.children) :]
+                node.children = []
 
     def distances(self, k: int, rows: np.ndarray) -> np.ndarray:
         if self.d is not None:
@@ -241,14 +247,15 @@ def _started(sets: DataFrame) -> DataFrame:
     return sets.select(F.concat("grp", F.lit("/")), "sid", "mult", "v").mapInArrow(run, ROW)
 
 
-def _children(large: DataFrame, distance: float, fan: int, sample: int) -> DataFrame:
+def _children(large: DataFrame, distance: float, chunk: int, fan: int, sample: int) -> DataFrame:
     """The rows of large nodes as home rows and guests of their children. large: also homes, members."""
     import pyarrow as pa
 
     def pick(key, t):
         t = t.sort_by("sid")
         x = np.array([np.frombuffer(v) for v in t.column("v").to_pylist()])
-        return pa.table({"node": pa.array([key[0].as_py()]), "v": pa.array([spread(unit(x), fan).tobytes()], pa.binary()), "size": pa.array([x.shape[1]], pa.int64()), "members": pa.array([t.column("members")[0].as_py()], pa.int64())})
+        few = min(fan, max(4, 2 * -(-t.column("homes")[0].as_py() // chunk)))
+        return pa.table({"node": pa.array([key[0].as_py()]), "v": pa.array([spread(unit(x), few).tobytes()], pa.binary()), "size": pa.array([x.shape[1]], pa.int64()), "members": pa.array([t.column("members")[0].as_py()], pa.int64())})
 
     def run(batches):
         at = centres = None
@@ -271,7 +278,7 @@ def _children(large: DataFrame, distance: float, fan: int, sample: int) -> DataF
                 start = end
 
     draw = F.pmod(F.xxhash64("sid", "node"), F.lit(1 << 30)) / float(1 << 30)
-    some = large.where(F.col("home") & (draw * F.col("homes") < sample)).select("node", "sid", "v", "members")
+    some = large.where(F.col("home") & (draw * F.col("homes") < sample)).select("node", "sid", "v", "members", "homes")
     centres = saved(some.groupBy("node").applyInArrow(pick, "node string, v binary, size long, members long"), "centres")
     # a node of many rows is dealt in parts, each with the centres before its rows
     parts = F.ceil(F.col("members") / 16_384).cast("int")
@@ -296,7 +303,7 @@ def leaves(rows: DataFrame, distance: float, chunk: int, fan: int = 16, sample:
             break
         # a sample can miss a node: it then stays a leaf, compared block against block
         whole = saved(here.where(large), "large")
-        todo = saved(_children(whole, distance, fan, sample), "level")
+        todo = saved(_children(whole, distance, chunk, fan, sample), "level")
         missed = whole.join(todo.select(F.regexp_replace("node", "[0-9a-f]+\\.$", "").alias("node")).distinct(), "node", "left_anti")
         found = found.union(saved(missed.drop("members"), "missed"))
     return found
