@@ -16,13 +16,14 @@ prefix loses too few tokens to break all its signatures). Each prefix is extende
 beyond that, so similar sets share that many signatures more; a set that shares fewer with all others
 together has no partner and leaves before any text is compared. Short posting lists give pairs, which counts of
 shared signatures thin out. A long list gives its members to the group of its leader, the member with the
-least mixed id, so that the many like lists of a group of copies fall into few groups. All pairs of a
-group are then verified on the whole texts, block against block, and leave a spanning forest: no pair is
-left out and none becomes a row. Frequent classes only steer cost: whatever they hold, the result is exact.
+least mixed id, so that the many like lists of a group of copies fall into few groups. The pairs of a group
+are then verified on the whole texts: in a large one the hub against all, which connects what is similar to it,
+then all others against all, block against block. That leaves a spanning forest: no class is missed and no
+pair that adds nothing becomes a row. Frequent classes only steer cost: whatever they hold, the result is exact.
 
 Memory: postings travel in packed arrays by hash bucket, whose number follows the number of tokens, and are
-worked on bucket by bucket; verification holds two blocks of sets. A group of g different texts costs
-(g / block)^2 / 2 units, and each of its texts travels g / block times.
+worked on bucket by bucket; verification holds two blocks of sets. In a large group, r of whose g texts aren't
+similar to its hub, each text travels once to meet the hub and then r / block times (those r: g / block times).
 
 Defined results: a null text counts as empty; a text without words has an empty set and links with
 nothing; a text of fewer than five words has its whole word sequence as its one shingle; repeated rows of
@@ -322,21 +323,60 @@ def _forest(n: int, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def starred(large: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of each group's hub with its other members. large: (lead, id, hub, blocks).
+
+    The hub's set goes to each block of its group; a task holds it and one other set."""
+    import pyarrow as pa
+
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = large.where("id != hub").select("lead", own.alias("block"), F.lit(1).alias("side"), "id")
+    hubs = large.where("id = hub").select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id")
+    rows = saved(hubs.union(others), "stars").hint("merge").join(texts, "id").select("lead", "block", "side", "id", "text")
+    dealt = rows.repartition(shuffle_partitions(large.sparkSession), "lead", "block").sortWithinPartitions("lead", "block", "side")
+
+    def run(batches):
+        hub, tokens = None, None
+        for b in batches:
+            found = []
+            for side, i, words in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), word_hashes(utf8(b.column(4)))):
+                x = shingle_set(words)
+                if side == 0:
+                    hub, tokens = i, x
+                elif 100 * (n := np.intersect1d(tokens, x, assume_unique=True).size) >= percent * (tokens.size + x.size - n):
+                    found.append((hub, i))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return saved(dealt.mapInArrow(run, "a long, b long"), "starred")
+
+
 def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: int, block: int = 256) -> DataFrame:
     """Links (a, b) that connect whatever pairs of a group's members are similar enough.
 
-    groups: distinct (lead, id). A group of more than `block` members is compared block against block,
-    each pair of blocks a task's unit of work, on the whole texts.
+    groups: distinct (lead, id). A group of more than `block` members is compared with its hub first; those that
+    are similar to it are connected by that, and what is left is then compared with all members, block against
+    block, each pair of blocks a task's unit of work, on the whole texts.
     """
     import pyarrow as pa
 
     spark = groups.sparkSession
-    size = groups.groupBy("lead").agg(F.count("*").alias("members")).where("members > 1")
-    size = saved(size.select("lead", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "sizes")
-    mine = F.when(F.col("blocks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    wanted = groups.join(size, "lead").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = saved(wanted.select("id", "lead", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "wanted")
+    size = groups.groupBy("lead").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1")
+    size = saved(size.select("lead", "hub", F.ceil(F.col("members") / block).cast("int").alias("blocks")), "sizes")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    mine = groups.join(size, "lead")
+    wanted, links = mine.where("blocks = 1").select("lead", "id", F.lit(0).alias("own"), F.array(F.lit(0)).alias("others")), None
+    if not size.where("blocks > 1").isEmpty():
+        large = saved(mine.where("blocks > 1"), "large")
+        links = starred(large, texts, percent)
+        to_hub = links.select(F.col("a").alias("hub"), F.col("b").alias("id")).distinct().withColumn("near", F.lit(True))
+        parted = saved(large.join(to_hub, ["hub", "id"], "left").select("lead", "id", (F.col("near").isNull() & (F.col("id") != F.col("hub"))).alias("left")), "parted")
+        many = parted.groupBy("lead").agg(F.ceil(F.sum(F.col("left").cast("int")) / block).cast("int").alias("l"), F.ceil(F.sum((~F.col("left")).cast("int")) / block).cast("int").alias("n")).where("l > 0")
+        # blocks of what is left come first; only pairs with one of those are units
+        at = F.when(F.col("left"), F.pmod(F.xxhash64("id"), F.col("l"))).otherwise(F.col("l") + F.pmod(F.xxhash64("id"), F.col("n"))).cast("int")
+        others = F.sequence(F.lit(0), F.when(F.col("left"), F.col("l") + F.col("n")).otherwise(F.col("l")) - 1)
+        wanted = wanted.union(parted.join(many, "lead").select("lead", "id", at.alias("own"), others.alias("others")))
+    wanted = wanted.withColumn("other", F.explode("others"))
+    wanted = saved(wanted.select("id", "lead", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), "wanted")
     rows = wanted.hint("merge").join(texts, "id").select("lead", "lo", "hi", "id", "text")
     dealt = rows.repartition(shuffle_partitions(spark), "lead", "lo", "hi").sortWithinPartitions("lead", "lo", "hi")
 
@@ -359,7 +399,8 @@ def verified(groups: DataFrame, docs: DataFrame, key: str, text: str, percent: i
                 sets.append(shingle_set(words))
         yield out()
 
-    return saved(dealt.mapInArrow(run, "a long, b long").where("a != b"), "links")
+    found = saved(dealt.mapInArrow(run, "a long, b long").where("a != b"), "links")
+    return found if links is None else found.union(links)
 
 
 def _bounds(percent: int) -> str:
