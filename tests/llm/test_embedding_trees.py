@@ -63,7 +63,7 @@ def test_leaves_that_stay_large(spark, monkeypatch, deepest):
 
 def test_samples_that_miss_a_node(spark, monkeypatch):
     old = embeddings._children
-    monkeypatch.setattr(embeddings, "_children", lambda large, distance, fan, sample: old(large, distance, fan, 2))
+    monkeypatch.setattr(embeddings, "_children", lambda large, distance, chunk, fan, sample: old(large, distance, chunk, fan, 2))
     rng = np.random.default_rng(4)
     same(spark, [(k, v, k % 9) for k, v in enumerate(rng.normal(size=(400, 4)).tolist())], chunk=16)
 
