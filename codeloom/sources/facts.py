@@ -66,8 +66,8 @@ def parsed(sources: DataFrame) -> DataFrame:
     names = {k: [c.split(":")[0] for c in v.split(",")] for k, v in _colons().items()}
 
     def run(batches):
+        rows, size = [], 0
         for b in batches:
-            rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 row = {"program_id": i, "error": None} | {k: [] for k in SCHEMAS}
                 try:
@@ -77,7 +77,11 @@ def parsed(sources: DataFrame) -> DataFrame:
                 except ProgramError as e:
                     row["error"] = str(e)
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                size += len(text or "") + 100
+                if size > 2_000_000:  # facts take many times their text
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return sources.select(F.col("program_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, schema)
 
