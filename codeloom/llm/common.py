@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def workers_find_us(spark: SparkSession) -> None:
-    """Python workers get this package's place on their path, wherever the driver was started."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    held = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in held:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, held)])
+from codeloom.session import shared_dir, workers_find_us
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,24 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests on one machine) is a temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        held = sc._jsc.sc().getCheckpointDir()
-        found = held.get() if held.isDefined() else None
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        found = tempfile.mkdtemp(prefix="codeloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Tables of this session that are still there, in the order of their making.
 _made: list[str] = []
 

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codeloom.llm.common import table
 from codeloom.llm.labelled import labelled_sample, trains
