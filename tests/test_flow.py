@@ -173,12 +173,24 @@ def test_odd_programs_leave_others_alone(spark):
 
 
 def test_constants_start_the_search(spark):
-    e = Engine.load(spark, "procedure p { a = 1; while (a > 0) { b = a; a = b; } c = b; }")
-    assert e.evaluate("stmt s; Select s such that Next*(3, s)") == ["2", "3", "4", "5"]
-    assert e.evaluate("stmt s; Select s such that Next*(s, 3)") == ["1", "2", "3", "4"]
-    assert e.evaluate("assign s; Select s such that Affects*(1, s)") == ["3", "4", "5"]
-    assert e.evaluate("Select BOOLEAN such that Next*(99999999999999999999, _)") == ["FALSE"]
-    assert {k for k in e.relations._held if k[0] == "next_t"} >= {("next_t", 3, None), ("next_t", None, 3)}
+    text = "procedure p { a = 1; while (a > 0) { b = a; a = b; } c = b; }"
+    for e in (Engine.load(spark, text), Engine.corpus(spark, spark.createDataFrame([("program", text)], "program_id string, text string"), keep=True)):
+        assert e.evaluate("stmt s; Select s such that Next*(3, s)") == ["2", "3", "4", "5"]
+        assert e.evaluate("stmt s; Select s such that Next*(s, 3)") == ["1", "2", "3", "4"]
+        assert e.evaluate("assign s; Select s such that Affects*(1, s)") == ["3", "4", "5"]
+        assert e.evaluate("Select BOOLEAN such that Next*(99999999999999999999, _)") == ["FALSE"]
+        held = set(e.relations._held)
+        e.release()
+    assert {("next_t", 3, None), ("next_t", None, 3), ("affects_t", 1, None)} <= held and not e.relations._held
+
+
+def test_large_programs_take_the_way_of_a_corpus(spark):
+    text = "procedure p { " + "a = a + 1; " * 1500 + "while (a > 0) { print a; } }"
+    e = Engine.load(spark, text)
+    assert not e.relations.small
+    assert e.evaluate("stmt s; Select s such that Next*(1499, s)") == ["1500", "1501", "1502"]
+    assert len(e.evaluate("assign a; assign b; Select a such that Affects(a, b)")) == 1499
+    assert e.evaluate("stmt s; Select s such that Parent*(s, 1502)") == ["1501"]
     e.release()
 
 
