@@ -8,18 +8,29 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.relations import LocalRelations, P, Relations, distances
+from codeloom.operators.relations import RUN, LocalRelations, P, Relations, distances
+from codeloom.plans.answers import Answers
 from codeloom.plans.planner import Planner
-from codeloom.plans.pql import QuerySyntaxError, listing, parse_query
+from codeloom.plans.pql import Query, QuerySyntaxError, listing, parse_query
+from codeloom.session import cut, dropped, workers_find_us
 from codeloom.sources.facts import FactTables, fact_tables, local_facts, parsed, read_programs
 from codeloom.sources.simple import Facts, ProgramError, parse_program
 
 log = logging.getLogger("codeloom")
+#: Texts of more characters are large programs: their pairs may be too many for one task.
+LARGE = 8192
+#: Characters that a task answers for, at least and at most, where there are enough for all cores.
+SHARE = 1 << 17, 1 << 23
 
 
 class Engine:
     """Answers queries over one program or a corpus. A program that can't be parsed has no answers.
 
+    A corpus's texts are written once, in the shared folder, and a query reads them in one pass: the task that
+    holds a program's text parses it and finds its answers, so no fact is stored or moved. Large programs, and
+    a corpus with `keep`, are answered from stored fact tables, by a plan of joins. Results read the texts
+    when they are computed; release() removes them.
+
     keep: relations that are computed within programs stay cached between queries, until release().
     timings: (step, seconds) of reading and planning queries and, for evaluate(), of running them.
     """
@@ -27,6 +38,8 @@ class Engine:
     def __init__(self, spark: SparkSession, facts: FactTables, errors: DataFrame | None = None, keep: bool = False):
         self.spark, self.facts, self.errors = spark, facts, errors
         self.relations = Relations(facts, keep)
+        self.sources: DataFrame | None = None
+        self._texts: tuple[DataFrame, int, Engine | None] | None = None
         self.timings: list[tuple[str, float]] = []
 
     @classmethod
@@ -52,7 +65,9 @@ class Engine:
     def corpus(cls, spark: SparkSession, sources: DataFrame, keep: bool = False) -> Engine:
         """sources: (program_id, text)."""
         bundle = parsed(sources).persist()
-        return cls(spark, fact_tables(bundle), bundle.where("error is not null").select(P, "error"), keep)
+        out = cls(spark, fact_tables(bundle), bundle.where("error is not null").select(P, "error"), keep)
+        out.sources = None if keep else sources
+        return out
 
     def _timed(self, step: str, began: float) -> None:
         self.timings.append((step, time.perf_counter() - began))
@@ -69,10 +84,79 @@ class Engine:
         self._timed("read", began)
         log.debug("query\n%s", listing(q))
         began = time.perf_counter()
-        out = Planner(self.relations).plan(q)
+        by_text = self.sources is not None and (q.boolean or not q.invalid)
+        out = self._answered(q) if by_text else self.query_plan(q)
         self._timed("plan", began)
         return out
 
+    def _read(self) -> tuple[DataFrame, int, Engine | None]:
+        """The texts of small programs, the tasks they are dealt to, and an engine of the large ones if there are any."""
+        if self._texts is None:
+            rows = cut(self.sources.select(F.col(P).cast("string").alias(P), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+            size, most = rows.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+            least_share, most_share = SHARE
+            tasks = max(-(-(size or 0) // most_share), min(4 * self.spark.sparkContext.defaultParallelism, -(-(size or 0) // least_share)), 1)
+            large = None
+            if (most or 0) > LARGE:
+                large = Engine.corpus(self.spark, rows.where(F.length("text") > LARGE), keep=True)
+                large.relations.keep = False
+                rows = rows.where(F.length("text") <= LARGE)
+            self._texts = rows, tasks, large
+        return self._texts
+
+    def _answered(self, q: Query) -> DataFrame:
+        """The rows of the planner's plan, found in the tasks that hold the programs' texts."""
+        import pyarrow as pa
+
+        workers_find_us(self.spark)
+        rows, tasks, large = self._read()
+        answers = Answers(q)
+        types = ["boolean"] if q.boolean else answers.types
+        names = ["result"] if q.boolean else [f"c{k + 1}" for k in range(len(types))]
+        kinds = [{"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}[t] for t in types]
+
+        def run(batches):
+            import numpy as np
+
+            ids, counts, columns = [], [], [[] for _ in types]  # columns: in parts, one for each id
+
+            def column(parts, kind):
+                if parts and any(isinstance(x, np.ndarray) for x in parts):
+                    return pa.array(np.concatenate([np.asarray(x, np.int32) for x in parts]), kind)
+                return pa.array([x for part in parts for x in part], kind)
+
+            def out():
+                of = pa.array(ids, pa.string()).take(pa.array(np.repeat(np.arange(len(ids)), counts)))
+                return pa.RecordBatch.from_arrays([of, *map(column, columns, kinds)], names=[P, *names])
+
+            size = 0
+            for b in batches:
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    try:
+                        facts = parse_program(text)
+                    except ProgramError:
+                        continue
+                    if not q.boolean and i is None:
+                        continue  # no program that clauses can name
+                    for found in [[[answers.holds(facts)]]] if q.boolean else answers.columns(facts):
+                        ids.append(i)
+                        counts.append(len(found[0]))
+                        for c, more in zip(columns, found):
+                            c.append(more)
+                        size += counts[-1]
+                        if size >= RUN:
+                            yield out()
+                            ids, counts, columns, size = [], [], [[] for _ in types], 0
+            yield out()
+
+        schema = f"{P} string, " + ", ".join(f"{n} {t}" for n, t in zip(names, types))
+        found = rows.repartition(tasks).mapInArrow(run, schema)
+        return found if large is None else found.union(large.query_plan(q))
+
+    def query_plan(self, q: Query) -> DataFrame:
+        """The query as a plan of joins of fact tables."""
+        return Planner(self.relations).plan(q)
+
     def strings(self, pql: str) -> DataFrame:
         """(program_id, answer): cells joined by a blank, booleans as TRUE and FALSE."""
         rows = self.query(pql)
@@ -92,3 +176,9 @@ class Engine:
 
     def release(self) -> None:
         self.relations.release()
+        if self._texts is not None:
+            rows, _, large = self._texts
+            if large is not None:
+                large.release()
+            dropped(rows)
+            self._texts = None

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codeloom.operators.flow import BLOCK, KERNELS, TYPES, WIDE, Program
+from codeloom.operators.within import Pairs
 from codeloom.session import workers_find_us
 from codeloom.sources.facts import PACKED, FactTables
 from codeloom.sources.simple import Facts
@@ -196,8 +197,7 @@ class LocalRelations(Relations):
 
     def __init__(self, facts: FactTables, parsed: Facts, most: int = 1024):
         super().__init__(facts, keep=True)
-        self.small, self.parsed = len(parsed.stmts) <= most, parsed
-        self.program = Program([(s[0], s[1], s[2], s[3], s[4], s[5], s[8]) for s in parsed.stmts], parsed.nexts, [u[:2] for u in parsed.uses], parsed.modifies)
+        self.small, self.pairs = len(parsed.stmts) <= most, Pairs(parsed)
 
     def between(self, name: str, left: int | None = None, right: int | None = None, again: bool = False) -> DataFrame:
         if not self.small:
@@ -209,40 +209,10 @@ class LocalRelations(Relations):
     def _local(self, name: str) -> DataFrame:
         import pyarrow as pa
 
-        if name in KERNELS:
-            pairs, types = [(x, y) for x, ys in KERNELS[name](self.program) for y in ys], TYPES[name]
-        else:
-            pairs, types = getattr(self, f"_pairs_{name}")(), ("string" if name == "calls" else "int", "string" if name in ("calls", "condition_uses") else "int")
-        kinds = [pa.int32() if t == "int" else pa.string() for t in types]
+        pairs, types = self.pairs.of(name), Pairs.types(name)
+        kinds, kind = [pa.int32() if t == "int" else pa.string() for t in types], {s[0]: s[1] for s in self.pairs.facts.stmts}
         columns = {P: pa.array(["program"] * len(pairs), pa.string()), "l": pa.array([p[0] for p in pairs], kinds[0]), "r": pa.array([p[1] for p in pairs], kinds[1])}
         for k, t in enumerate(types):
             if t == "int":
-                columns[f"{'lr'[k]}k"] = pa.array([self.program.stmts[p[k]][1] for p in pairs], pa.string())
+                columns[f"{'lr'[k]}k"] = pa.array([kind[p[k]] for p in pairs], pa.string())
         return self.facts.program.sparkSession.createDataFrame(pa.table(columns))
-
-    def _lists(self) -> list[list[int]]:
-        out: dict[int, list[int]] = {}
-        for s in self.parsed.stmts:
-            out.setdefault(s[3], []).append(s[0])
-        return list(out.values())
-
-    def _pairs_follows(self) -> list[tuple]:
-        return [p for ns in self._lists() for p in zip(ns, ns[1:])]
-
-    def _pairs_follows_t(self) -> list[tuple]:
-        return [(a, b) for ns in self._lists() for k, a in enumerate(ns) for b in ns[k + 1 :]]
-
-    def _pairs_parent(self) -> list[tuple]:
-        return [(s[5], s[0]) for s in self.parsed.stmts if s[5] is not None]
-
-    def _pairs_parent_t(self) -> list[tuple]:
-        return [(s[0], n) for s in self.parsed.stmts for n in range(s[0] + 1, s[6] + 1)]
-
-    def _pairs_calls(self) -> list[tuple]:
-        return sorted({(s[2], s[8]) for s in self.parsed.stmts if s[8] is not None})
-
-    def _pairs_next(self) -> list[tuple]:
-        return list(self.parsed.nexts)
-
-    def _pairs_condition_uses(self) -> list[tuple]:
-        return sorted({(n, v) for n, v, inside in self.parsed.uses if inside})
