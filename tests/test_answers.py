@@ -46,6 +46,7 @@ def test_searches_share_states(monkeypatch):
         p = program(some_program(rng))
         for name in ("affects_bip", "affects_bip_t"):
             monkeypatch.setattr(flow, "FEW", 10**6)
+            monkeypatch.setattr(flow, "ROUNDS", int(rng.integers(1, 13)))
             together = pairs(flow.KERNELS[name](p))
             monkeypatch.setattr(flow, "FEW", 0)
             assert together == pairs(flow.KERNELS[name](p))
