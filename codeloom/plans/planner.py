@@ -126,6 +126,11 @@ class Planner:
         for s in sorted(named):
             if s not in sure and (q.declared[s] not in WIDE or not any(s in syns for syns, _ in frames)):
                 frames.append(({s}, self.scan(q.declared[s], column(s))))
+        # a synonym that nothing else names goes before its rows meet others
+        times_named = Counter(s for syns, _ in frames for s in syns)
+        for k, (syns, f) in enumerate(frames):
+            if syns - (keep := {s for s in syns if s in returned or times_named[s] > 1}):
+                frames[k] = keep, f.select(P, *sorted(column(s) for s in keep)).distinct()
         out = [(set(), f.select(P).distinct()) for syns, f in frames if not syns]
         left = sorted(((s, f) for s, f in frames if s), key=lambda x: len(x[0]))
         while left:

@@ -111,3 +111,14 @@ def test_large_programs_among_small(spark, monkeypatch):
     e.release()
     plan.release()
     assert files and not any(spark._jvm.java.io.File(f.removeprefix("file:")).exists() for f in files)
+
+
+def test_unshared_synonyms_go_before_pairs_meet(spark):
+    """events_next_t: no table of pairs is made distinct for a synonym that only one clause names."""
+    from codeloom.queries import EVENT_CASES
+    from codeloom.sources.tables import event_programs
+
+    e = Engine(spark, event_programs(spark.read.parquet("/root/testdata/sf0.001/events.parquet")))
+    plan = e.query(EVENT_CASES["events_next_t"][0])._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.splitlines() if "Aggregate [" in x]
+    assert made and not any("s_a#" in x and "s_x#" in x for x in made)
