@@ -14,6 +14,7 @@ from codeloom.plans.planner import Planner
 from codeloom.plans.pql import Query, QuerySyntaxError, listing, parse_query
 from codeloom.session import cut, dropped, workers_find_us
 from codeloom.sources.facts import FactTables, fact_tables, local_facts, parsed, read_programs
+from codeloom.sources.shapes import read_program
 from codeloom.sources.simple import Facts, ProgramError, parse_program
 
 log = logging.getLogger("codeloom")
@@ -133,7 +134,7 @@ class Engine:
             for b in batches:
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     try:
-                        facts = parse_program(text)
+                        facts = read_program(text)
                     except ProgramError:
                         continue
                     if not q.boolean and i is None:
