@@ -55,15 +55,21 @@ def order_programs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     an order's procedure assigns once for each of its items, in a branch, and calls `log`. Orders without
     items aren't called.
     """
-    item = F.struct("l_linenumber", F.concat(F.lit("v"), F.col("l_suppkey") % 4).alias("to"), F.concat(F.lit("v"), F.col("l_partkey") % 4).alias("by"))
-    items = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    line = lambda x: F.format_string("%s = (%s + %d) * rate;", x["to"], x["by"], x["l_linenumber"])
+    shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    item = F.struct("l_linenumber", (F.col("l_suppkey") % 4).alias("to"), (F.col("l_partkey") % 4).alias("by"))
+    var = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("null"))
+    # rows move before they are gathered: tasks that read them have hardly two of a key
+    items = lineitem.select("l_orderkey", item.alias("item")).repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    line = lambda x: F.concat(var(x["to"]), F.lit(" = ("), var(x["by"]), F.lit(" + "), shown(x["l_linenumber"]), F.lit(") * rate;"))
     items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.transform("items", line), " ").alias("items"))
     status = F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1
     rows = orders.select("o_orderkey", F.concat_ws("-", "o_custkey", F.substring("o_orderpriority", 1, 1)).alias(P), status.alias("status")).join(items, "o_orderkey")
-    rows = rows.groupBy(P).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "status", "items"))).alias("orders"))
-    calls = F.array_join(F.transform("orders", lambda x, i: F.format_string("call o%d;", i + 1)), " ")
-    one = lambda x, i: F.format_string("procedure o%d { if (status == %d) then { %s } else { budget = budget - 1; } call log; }", i + 1, x["status"], x["items"])
+    body = F.concat(F.lit(" { if (status == "), shown(F.col("status")), F.lit(") then { "), F.col("items"), F.lit(" } else { budget = budget - 1; } call log; }"))
+    rows = rows.select(P, F.struct("o_orderkey", "status", body.alias("body")).alias("order")).repartition(P)
+    rows = rows.groupBy(P).agg(F.sort_array(F.collect_list("order")).alias("orders"))
+    number = lambda i: (i + 1).cast("string")
+    calls = F.array_join(F.transform("orders", lambda x, i: F.concat(F.lit("call o"), number(i), F.lit(";"))), " ")
+    one = lambda x, i: F.concat(F.lit("procedure o"), number(i), x["body"])
     text = F.concat(F.lit("procedure main { read budget; while (budget > 0) { "), calls, F.lit(" } print spent; }\n"), F.array_join(F.transform("orders", one), "\n"), F.lit("\nprocedure log { spent = spent + v0; print spent; }"))
     return rows.select(P, text.alias("text"))
 
