@@ -22,6 +22,8 @@ log = logging.getLogger("codeloom")
 LARGE = 8192
 #: Characters that a task answers for, at least and at most, where there are enough for all cores.
 SHARE = 1 << 17, 1 << 23
+#: How much more than a core's share of the texts a task may read before they are dealt anew.
+EVEN = 1.25
 
 
 class Engine:
@@ -91,18 +93,25 @@ class Engine:
         return out
 
     def _read(self) -> tuple[DataFrame, int, Engine | None]:
-        """The texts of small programs, the tasks they are dealt to, and an engine of the large ones if there are any."""
+        """The texts of small programs, the tasks they are dealt to (0: they stay as they lie, which is even enough), and
+        an engine of the large ones if there are any."""
         if self._texts is None:
-            rows = cut(self.sources.select(F.col(P).cast("string").alias(P), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-            size, most = rows.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+            rows = self.sources.select(F.col(P).cast("string").alias(P), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            rows = cut(rows.withColumn("size", F.length("text")))
+            # the sizes are read without the texts, by the tasks that would read these
+            held = rows.groupBy(F.spark_partition_id()).agg(F.sum("size"), F.max("size")).collect()
+            size, most = sum(r[1] for r in held), max((r[2] for r in held), default=0)
             least_share, most_share = SHARE
-            tasks = max(-(-(size or 0) // most_share), min(4 * self.spark.sparkContext.defaultParallelism, -(-(size or 0) // least_share)), 1)
+            cores = self.spark.sparkContext.defaultParallelism
+            tasks = max(-(-size // most_share), min(4 * cores, -(-size // least_share)), 1)
+            if size > cores * least_share and max(r[1] for r in held) <= EVEN * size / cores:
+                tasks = 0  # texts needn't move; few are gathered, so that few tasks start
             large = None
-            if (most or 0) > LARGE:
-                large = Engine.corpus(self.spark, rows.where(F.length("text") > LARGE), keep=True)
+            if most > LARGE:
+                large = Engine.corpus(self.spark, rows.where(F.col("size") > LARGE).select(P, "text"), keep=True)
                 large.relations.keep = False
-                rows = rows.where(F.length("text") <= LARGE)
-            self._texts = rows, tasks, large
+                rows = rows.where(F.col("size") <= LARGE)
+            self._texts = rows.select(P, "text"), tasks, large
         return self._texts
 
     def _answered(self, q: Query) -> DataFrame:
@@ -117,6 +126,16 @@ class Engine:
         kinds = [{"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32()}[t] for t in types]
 
         def run(batches):
+            import gc
+
+            was = gc.get_threshold()
+            gc.set_threshold(100_000, 20, 20)  # programs and their facts hold no circles
+            try:
+                yield from found_in(batches)
+            finally:
+                gc.set_threshold(*was)
+
+        def found_in(batches):
             import numpy as np
 
             ids, counts, columns = [], [], [[] for _ in types]  # columns: in parts, one for each id
@@ -151,7 +170,7 @@ class Engine:
             yield out()
 
         schema = f"{P} string, " + ", ".join(f"{n} {t}" for n, t in zip(names, types))
-        found = rows.repartition(tasks).mapInArrow(run, schema)
+        found = (rows.repartition(tasks) if tasks else rows).mapInArrow(run, schema)
         return found if large is None else found.union(large.query_plan(q))
 
     def query_plan(self, q: Query) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from codeloom.operators.relations import P
 from codeloom.sources.facts import FactTables
 
+#: Added to an int, so that the least is above null's 0.
+_FIRST = (1 << 31) + 1
+
 
 def event_programs(events: DataFrame) -> FactTables:
     """A program for each user: statement = event, in the order of (ts, event_id).
@@ -56,20 +59,22 @@ def order_programs(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     items aren't called.
     """
     shown = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    item = F.struct("l_linenumber", (F.col("l_suppkey") % 4).alias("to"), (F.col("l_partkey") % 4).alias("by"))
-    var = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("null"))
+    # an item is one number, as numbers move, are gathered and sorted for less: its place (an int, null before all),
+    # then both variables; texts are made last
+    of = lambda c: F.coalesce(F.col(c) % 4 + 4, F.lit(0))
+    item = F.coalesce(F.col("l_linenumber").cast("long") + _FIRST, F.lit(0)) * 64 + of("l_suppkey") * 8 + of("l_partkey")
     # rows move before they are gathered: tasks that read them have hardly two of a key
-    items = lineitem.select("l_orderkey", item.alias("item")).repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    line = lambda x: F.concat(var(x["to"]), F.lit(" = ("), var(x["by"]), F.lit(" + "), shown(x["l_linenumber"]), F.lit(") * rate;"))
-    items = items.select(F.col("l_orderkey").alias("o_orderkey"), F.array_join(F.transform("items", line), " ").alias("items"))
+    items = lineitem.select(F.col("l_orderkey").alias("o_orderkey"), item.alias("item")).repartition("o_orderkey").groupBy("o_orderkey").agg(F.sort_array(F.collect_list("item")).alias("items"))
     status = F.instr(F.lit("FOP"), F.col("o_orderstatus")) - 1
     rows = orders.select("o_orderkey", F.concat_ws("-", "o_custkey", F.substring("o_orderpriority", 1, 1)).alias(P), status.alias("status")).join(items, "o_orderkey")
-    body = F.concat(F.lit(" { if (status == "), shown(F.col("status")), F.lit(") then { "), F.col("items"), F.lit(" } else { budget = budget - 1; } call log; }"))
-    rows = rows.select(P, F.struct("o_orderkey", "status", body.alias("body")).alias("order")).repartition(P)
+    rows = rows.select(P, F.struct("o_orderkey", "status", "items").alias("order")).repartition(P)
     rows = rows.groupBy(P).agg(F.sort_array(F.collect_list("order")).alias("orders"))
+    var = ["null", *(f"v{k}" for k in range(-3, 4))]
+    starts = F.array(*(F.lit(f"{to} = ({by} + ") for to in var for by in var))
+    line = lambda x: F.concat(F.get(starts, x.bitwiseAND(63).cast("int")), shown(F.when(x >= 64, F.shiftright(x, 6) - _FIRST)), F.lit(") * rate;"))
     number = lambda i: (i + 1).cast("string")
     calls = F.array_join(F.transform("orders", lambda x, i: F.concat(F.lit("call o"), number(i), F.lit(";"))), " ")
-    one = lambda x, i: F.concat(F.lit("procedure o"), number(i), x["body"])
+    one = lambda x, i: F.concat(F.lit("procedure o"), number(i), F.lit(" { if (status == "), shown(x["status"]), F.lit(") then { "), F.array_join(F.transform(x["items"], line), " "), F.lit(" } else { budget = budget - 1; } call log; }"))
     text = F.concat(F.lit("procedure main { read budget; while (budget > 0) { "), calls, F.lit(" } print spent; }\n"), F.array_join(F.transform("orders", one), "\n"), F.lit("\nprocedure log { spent = spent + v0; print spent; }"))
     return rows.select(P, text.alias("text"))
 
