@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import time
+from heapq import heapreplace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,18 @@ log = logging.getLogger("codeloom")
 LARGE = 8192
 #: Characters that a task answers for, at least and at most, where there are enough for all cores.
 SHARE = 1 << 17, 1 << 23
-#: How much more than a core's share of the texts a task may read before they are dealt anew.
+#: How much more than a core's share of the texts a core may read, task after task, before they are dealt anew.
 EVEN = 1.25
 
 
+def longest(sizes: list[int], cores: int) -> int:
+    """What the busiest core reads if each takes the next of the tasks when it is done."""
+    read = [0] * cores
+    for size in sizes:
+        heapreplace(read, read[0] + size)
+    return max(read)
+
+
 class Engine:
     """Answers queries over one program or a corpus. A program that can't be parsed has no answers.
 
@@ -104,7 +113,7 @@ class Engine:
             least_share, most_share = SHARE
             cores = self.spark.sparkContext.defaultParallelism
             tasks = max(-(-size // most_share), min(4 * cores, -(-size // least_share)), 1)
-            if size > cores * least_share and max(r[1] for r in held) <= EVEN * size / cores:
+            if size > cores * least_share and longest([r[1] for r in sorted(held)], cores) <= EVEN * size / cores:
                 tasks = 0  # texts needn't move; few are gathered, so that few tasks start
             large = None
             if most > LARGE:
